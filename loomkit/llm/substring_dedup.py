@@ -1,8 +1,8 @@
 """Substring dedup by level-wise doubling.
 
 A window of `length` words can only be repeated if every shorter window inside it is. So the shortest
-level is judged first, on few windows: the winnowed ones (the smallest hash of each run of neighbours),
-of which every full window is guaranteed to hold one. Windows that are repeated at one length alone are
+level is judged first, on few windows: the winnowed ones, one leader (the smallest hash) for each window of the
+next length, which equal windows share. Windows that are repeated at one length alone are
 extended to twice that length, up to `length`; a text without survivors asks for nothing at the next level.
 
 Texts are dealt into chunks by a hash of doc_id and hashes into buckets by their value. A chunk sends each
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkit.llm.common import WordHashes, mixed, pieces, total_bytes, window_hashes
+from loomkit.llm.common import WordHashes, pieces, total_bytes, window_hashes
 
 SHORTEST = 8  # words of the first level at most
 SECOND_BASE = 0xD6E8FEB86659FD93
@@ -60,14 +60,13 @@ class Chunk:
         return values, inside
 
 
-def winnowed(values: np.ndarray, inside: np.ndarray, reach: int) -> np.ndarray:
-    """Positions whose value is the smallest of some `reach` neighbours that all lie inside the text."""
+def leaders(values: np.ndarray, reach: int) -> np.ndarray:
+    """For each run of `reach` neighbouring values, the position of its first smallest one."""
     n = len(values) - reach + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64)
     runs = np.lib.stride_tricks.sliding_window_view(values, reach)
-    at = np.concatenate([np.argmin(runs[i : i + 65536], axis=1) + np.arange(i, min(i + 65536, n)) for i in range(0, n, 65536)])
-    return np.unique(at[inside[:n] & inside[reach - 1 :]])
+    return np.concatenate([np.argmin(runs[i : i + 65536], axis=1) + np.arange(i, min(i + 65536, n)) for i in range(0, n, 65536)])
 
 
 def asked(chunk: Chunk, lengths: list[int], level: int, replies: dict[int, dict[int, np.ndarray]], buckets: int):
@@ -75,18 +74,19 @@ def asked(chunk: Chunk, lengths: list[int], level: int, replies: dict[int, dict[
     length = lengths[level]
     values, inside = chunk.windows(length)
     if level == 0:
-        at = np.flatnonzero(inside) if len(lengths) == 1 else winnowed(values, inside, lengths[1] - length + 1)
+        at = np.flatnonzero(inside)
+        if len(lengths) > 1:  # equal windows of the next length have equal leaders, so these decide for both
+            _, longer = chunk.windows(lengths[1])
+            at = np.unique(leaders(values, lengths[1] - length + 1)[longer])
     elif level == 1:
-        shorter = lengths[0]
+        shorter, _ = chunk.windows(lengths[0])
         before, ok, _, _, _ = judged(chunk, lengths, 0, replies, buckets)
-        dead = np.zeros(len(chunk.words) + 1, dtype=np.int64)
-        dead[before[~ok] + 1] = 1
-        dead = np.cumsum(dead)
-        at = np.flatnonzero(inside)
-        at = at[dead[at + length - shorter + 1] == dead[at]]  # no winnowed window inside is unrepeated
+        alive = np.zeros(len(chunk.words), dtype=bool)
+        alive[before[ok]] = True
+        at = np.flatnonzero(inside & alive[leaders(shorter, length - lengths[0] + 1)])
     else:
         before, ok, _, _, _ = judged(chunk, lengths, level - 1, replies, buckets)
-        alive = np.zeros(len(chunk.words) + length, dtype=bool)
+        alive = np.zeros(len(chunk.words), dtype=bool)
         alive[before[ok]] = True
         at = np.flatnonzero(inside)
         at = at[alive[at] & alive[at + length - lengths[level - 1]]]
