@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomkit.llm.line_dedup import dedup_lines
+from loomkit.llm.simhash import group_near_copies
 from loomkit.llm.substring_dedup import dedup_substrings
 
 
@@ -12,16 +14,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), run=2).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"), length=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = group_near_copies(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES = {
+    "op1_line_dedup": r"""
+WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+l AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM raw),
+num AS (SELECT doc_id, p, t, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS q FROM l WHERE t <> ''),
+win AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY q) AS t2 FROM num),
+late AS (SELECT doc_id, q FROM (SELECT doc_id, q, row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, q) AS k FROM win WHERE t2 IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM num JOIN (SELECT doc_id, q FROM late UNION SELECT doc_id, q + 1 FROM late) USING (doc_id, q)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM num GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS g FROM gone GROUP BY doc_id)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS text, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+""",
     "op2_substring_dedup": r"""
 WITH w AS (SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS ws FROM documents),
 win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) AS u(p)),
