@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomkit.llm.decontaminate import find_items
 from loomkit.llm.line_dedup import dedup_lines
+from loomkit.llm.mixing import mix
+from loomkit.llm.quality import quality_verdicts
 from loomkit.llm.simhash import group_near_copies
 from loomkit.llm.substring_dedup import dedup_substrings
 
@@ -28,10 +31,32 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
+    "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
@@ -56,5 +81,29 @@ words AS (SELECT doc_id, q, ws[q] AS word FROM w, unnest(range(1, len(ws) + 1))
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS t FROM words ANTI JOIN cover USING (doc_id, q) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op5_decontamination": r"""
+WITH norm AS (SELECT 0 AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 1, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM norm WHERE t IS NOT NULL),
+items AS (SELECT id AS item_id, least(len(ws), 5) AS k, ws FROM w WHERE kind = 1 AND len(ws) > 0),
+item_shingles AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS s FROM items, unnest(range(1, len(ws) - k + 2)) AS u(p)),
+n AS (SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id),
+doc_shingles AS (SELECT DISTINCT id AS doc_id, k, array_to_string(ws[p:p + k - 1], ' ') AS s FROM w, (SELECT DISTINCT k FROM items), unnest(range(1, len(ws) - k + 2)) AS u(p) WHERE kind = 0)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n_item::BIGINT AS n_item, count(*)::DOUBLE / n_item AS containment
+FROM doc_shingles JOIN item_shingles USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8::DOUBLE * n_item
+""",
+    "op6_mixing": r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '-')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+c AS (SELECT *, ((rank - 1) % 3 + 1)::DOUBLE AS weight, source_size::DOUBLE * 3 AS cap FROM r),
+l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+  FROM c WINDOW f AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT level FROM l WHERE level <= cap / weight ORDER BY cap / weight, rank LIMIT 1),
+t AS (SELECT source, source_size, least(cap, (SELECT level FROM level) * weight) AS target FROM l),
+b AS (SELECT doc_id, d.source, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target, (epochs * size + least(greatest(floor(target)::BIGINT - epochs * source_size - before, 0), size))::BIGINT AS taken FROM b
 """,
 }
