@@ -123,7 +123,7 @@ def links_between(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Smallest reachable node of every node that has a link: (node, root), by alternating large and small stars."""
+    """(node, root) of every node that reaches a smaller one; root is the smallest. By alternating large and small stars."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     told = summary(edges)
     for _ in range(most_rounds):

@@ -1,0 +1,162 @@
+"""Line dedup, substring dedup and near-copies against brute force, with nulls, ties, repeated rows and empty tables."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from loomkit.llm import line_dedup, simhash, substring_dedup
+
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def documents(seed, n=60):
+    """Small texts that share passages, lines and whole copies; nulls, empties and repeated rows among them."""
+    r = random.Random(seed)
+    word = lambda: r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(40))
+    passages = [" ".join(word() for _ in range(r.randrange(5, 40))) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        lines = [r.choice(passages) if r.random() < 0.4 else " ".join(word() for _ in range(r.randrange(0, 25))) for _ in range(r.randrange(1, 8))]
+        rows.append((r.choice([i, i, i, None]) if i % 9 == 0 else i, r.choice(["\n", "\n", "\n\n", " \n"]).join(lines)))
+    rows += [(n, None), (n + 1, ""), (n + 2, " \n\t"), rows[3], (n + 3, rows[4][1]), (n + 4, rows[4][1]), (7, "other text of the same id"), (None, rows[4][1]), (n + 5, " ".join(["again"] * 40))]
+    return rows
+
+
+def frame(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.selectExpr("doc_id", "text", "1 AS chunk", "2 AS hash", "3 AS row", "4 AS n_removed")  # names the operators use themselves
+
+
+def ranked(doc_id):
+    return (doc_id is None, doc_id or 0)
+
+
+@pytest.mark.parametrize("length", [13, 5, 30])
+@pytest.mark.parametrize("chunk_bytes", [1 << 20, 700])
+def test_substrings(spark, length, chunk_bytes):
+    rows = documents(length)
+    first = {}
+    split = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, words in split:
+        for p in range(len(words) - length + 1):
+            k = tuple(words[p : p + length])
+            first[k] = min(first.get(k, (2, 0)), ranked(i))
+    expected = []
+    for i, words in split:
+        gone = [False] * len(words)
+        for p in range(len(words) - length + 1):
+            if first[tuple(words[p : p + length])] < ranked(i):
+                gone[p : p + length] = [True] * length
+        expected.append((i, len(words), sum(gone), b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode()))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup_substrings(frame(spark, rows), length, chunk_bytes).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_substring_spans_and_levels(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    out = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame([(1, text), (2, f"x {text} y")], "doc_id long, text string")).collect()}
+    assert out[1].removed == [] and [tuple(s) for s in out[2].removed] == [(1, 21)] and out[2].kept_text == "x y"
+    assert substring_dedup.level_lengths(13) == [7, 13] and substring_dedup.level_lengths(100) == [7, 13, 25, 50, 100] and substring_dedup.level_lengths(3) == [3]
+
+
+@pytest.mark.parametrize("run", [2, 3])
+def test_lines(spark, run):
+    rows = documents(run + 50)
+    key = lambda i, t: (*ranked(i), np.int64(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42))) if t is not None else 42)
+    split = [(key(i, t), i, t, [x for x in ((t or "").split("\n")) if x.strip(BLANKS)]) for i, t in rows]
+    first = {}
+    for k, _, _, lines in split:
+        for p in range(len(lines) - run + 1):
+            w = tuple(x.strip(BLANKS) for x in lines[p : p + run])
+            first[w] = min(first.get(w, ((True, 1 << 62, 0), 0)), (k, p))
+    expected = []
+    for k, i, t, lines in split:
+        gone = set()
+        for p in range(len(lines) - run + 1):
+            if first[tuple(x.strip(BLANKS) for x in lines[p : p + run])] < (k, p):
+                gone.update(range(p, p + run))
+        out, n = [], 0
+        for line in (t or "").split("\n"):
+            if line.strip(BLANKS):
+                n += 1
+                if n - 1 in gone:
+                    continue
+            out.append(line)
+        expected.append((i, None if t is None else "\n".join(out), n, len(gone)))
+    got = line_dedup.dedup_lines(frame(spark, rows), run)
+    assert got.columns == ["doc_id", "text", "chunk", "hash", "row", "n_lines", "n_removed"]
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def fingerprints(texts):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        counts = [sum(xxhash.xxh64_intdigest(s, 42) >> b & 1 for s in shingles) for b in range(64)]
+        out.append(sum(1 << b for b in range(64) if counts[b] * 2 > len(shingles)))
+    return out
+
+
+def brute_components(values):
+    label = list(range(len(values)))
+    for i in range(len(values)):
+        for j in range(i):
+            if (values[i] ^ values[j]).bit_count() <= 3 and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_near_copies(spark):
+    rows = documents(99)
+    rows += [(200 + i, " ".join(f"t{j}" for j in range(400) if j != 7 * i)) for i in range(12)]
+    values = fingerprints(t for _, t in rows)
+    label = brute_components(values)
+    smallest = {x: min((i for (i, _), y in zip(rows, label, strict=True) if x == y and i is not None), default=None) for x in label}
+    expected = [(i, v, smallest[x]) for (i, _), v, x in zip(rows, values, label, strict=True)]
+    got = [(r.doc_id, r.simhash % (1 << 64), r.component_id) for r in simhash.group_near_copies(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    kept = simhash.keep_one_of_each(frame(spark, rows))
+    assert kept.count() == len(set(label)) and kept.columns == frame(spark, rows).columns
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_links_of_dense_groups(spark, block):
+    """Fingerprints around a few centres: many share a half, and blocks have to be crossed."""
+    r = random.Random(4)
+    values = set()
+    for _ in range(5):
+        centre = r.getrandbits(64)
+        for _ in range(40):
+            v = centre
+            for b in r.sample(range(64), r.randrange(0, 5)):
+                v ^= 1 << b
+            values.add(v)
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = simhash.links_between(spark.createDataFrame([(v,) for v in signed], "fp long"), block)
+    roots = {r.node: r.root for r in simhash.components(links).collect()}
+    label = brute_components(values)
+    groups = {}
+    for v, x in zip(signed, label, strict=True):
+        groups.setdefault(x, set()).add(v)
+    expected = {v: min(g) for g in groups.values() for v in g if v != min(g)}
+    assert roots == expected
+    for a, b in links.collect():
+        assert ((a ^ b) % (1 << 64)).bit_count() <= 3
+
+
+def test_long_chain_of_links(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(chain).collect()} == {(i, 0) for i in range(1, 41)}
+
+
+def test_empty_tables(spark):
+    empty = frame(spark, [])
+    assert substring_dedup.dedup_substrings(empty).count() == 0
+    assert line_dedup.dedup_lines(empty).count() == 0
+    assert simhash.group_near_copies(empty).count() == 0
+    assert simhash.keep_one_of_each(empty).count() == 0
