@@ -37,6 +37,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LONGEST_GROUP = 8  # blocks in a repeated group
 FEWEST_PAGES = 3  # of a host, before an unchanging block outside an article counts as part of the template
+GROUP = 500  # wrappers that are aligned in one task
 MOST_SKELETONS = 50_000  # rows sent to every task; more are joined by a shuffle
 
 
@@ -167,57 +168,102 @@ def slots(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "sig", "place", "leaf").agg(F.count("*").alias("n"), F.when(F.min("slot") == F.max("slot"), F.min("slot")).alias("fixed"))
 
 
-def infer(rows: list[tuple[int, list[str], int, list[int | None]]]) -> tuple[str, dict[int, list[bool]]]:
-    """The wrapper of a host from its skeletons (sig, leaves, pages, text hash of leaves that never change); for each sig the leaves to read."""
+def align(children: list[tuple[int, list[dict]]]) -> tuple[list[dict], dict[int, list[int]]]:
+    """Aligns wrappers (id, items of leaf, pages and fixed) one after the other. Returns the wrapper of them all and,
+    for each id, the places of its items there. An item that doesn't match stands beside, to be optional; one whose
+    text isn't the same in both becomes a text slot."""
     wrapper: list[dict] = []
     own: dict[int, list[dict]] = {}
-    for sig, leaves, n, still in sorted(rows, key=lambda r: (-r[2], r[0])):
-        match = difflib.SequenceMatcher(None, [item["leaf"] for item in wrapper], leaves, autojunk=False)
+    for key, items in sorted(children, key=lambda c: (-max((i["pages"] for i in c[1]), default=0), c[0])):
+        match = difflib.SequenceMatcher(None, [item["leaf"] for item in wrapper], [item["leaf"] for item in items], autojunk=False)
         merged: list[dict] = []
-        own[sig] = []
+        own[key] = []
         for kind, a, b, c, d in match.get_opcodes():
             if kind == "equal":
-                items = wrapper[a:b]
-                for item, fixed in zip(items, still[c:d], strict=True):
-                    item["pages"] += n
-                    item["fixed"] = fixed if item["fixed"] == fixed else None
+                met = wrapper[a:b]
+                for item, new in zip(met, items[c:d], strict=True):
+                    item["pages"] += new["pages"]
+                    item["fixed"] = new["fixed"] if item["fixed"] == new["fixed"] else None
             else:
                 merged += wrapper[a:b]
-                items = [{"leaf": leaf, "pages": n, "fixed": fixed} for leaf, fixed in zip(leaves[c:d], still[c:d], strict=True)]
-            merged += items
-            own[sig] += items
+                met = [dict(item) for item in items[c:d]]
+            merged += met
+            own[key] += met
         wrapper = merged
-    total = sum(r[2] for r in rows)
-    reads = {}
-    for sig, items in own.items():
-        if any(item["leaf"][0] == "+" for item in items):
-            reads[sig] = [item["leaf"][0] == "+" for item in items]
-        else:
-            plain = [item["leaf"][0] == "." for item in items]
-            varied = [p and (total < FEWEST_PAGES or item["fixed"] is None) for p, item in zip(plain, items, strict=True)]
-            reads[sig] = varied if any(varied) else plain  # pages that are all copies of one have no template to tell apart
-    shown = ["(" + item["leaf"][1:] + (" #TEXT" if item["fixed"] is None else "") + ")" + ("?" if item["pages"] < total else "") for item in wrapper]
-    return " ".join(shown), reads
+    place = {id(item): i for i, item in enumerate(wrapper)}
+    return wrapper, {key: [place[id(item)] for item in items] for key, items in own.items()}
+
+
+def shown(items: list[dict], total: int) -> str:
+    """A wrapper as text: (path) for unchanging text, (path #TEXT) for a slot, ? after what not every page has."""
+    return " ".join("(" + item["leaf"][1:] + (" #TEXT" if item["fixed"] is None else "") + ")" + ("?" if item["pages"] < total else "") for item in items)
+
+
+def leaves_to_read(leaves: list[str], fixed: list[bool], pages: int) -> list[bool]:
+    """Which leaves of a page are the article: those in main elements, else those that neither their element nor their
+    host's template marks as something else."""
+    if any(leaf[0] == "+" for leaf in leaves):
+        return [leaf[0] == "+" for leaf in leaves]
+    plain = [leaf[0] == "." for leaf in leaves]
+    varied = [p and not (f and pages >= FEWEST_PAGES) for p, f in zip(plain, fixed, strict=True)]
+    return varied if any(varied) else plain  # pages that are all copies of one have no template to tell apart
+
+
+ITEMS = "array<struct<leaf:string,pages:long,fixed:long>>"
+ITEM_TYPE = pa.list_(pa.struct([("leaf", pa.string()), ("pages", pa.int64()), ("fixed", pa.int64())]))
+
+
+def aligned(wrappers_: DataFrame) -> DataFrame:
+    """Aligns up to about GROUP wrappers (host, id, items) at a time: a row for each, (host, id, parent, at), and its
+    parent's items on the first one."""
+
+    def merge(key, table):
+        rows = table.to_pylist()
+        items, at = align([(r["id"], r["items"]) for r in rows])
+        ids = list(at)
+        return pa.table({
+            "host": pa.array([key[0].as_py()] * len(ids), pa.string()), "id": pa.array(ids, pa.int64()), "parent": pa.array([key[1].as_py()] * len(ids), pa.int64()),
+            "at": pa.array(list(at.values()), pa.list_(pa.int32())), "items": pa.array([items] + [None] * (len(ids) - 1), ITEM_TYPE),
+        })
+
+    counts = wrappers_.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    dealt = wrappers_.join(broadcast_if_small(counts.filter("groups > 1"), MOST_SKELETONS), "host", "left")
+    dealt = dealt.withColumn("parent", F.pmod("id", F.coalesce("groups", F.lit(1)))).select("host", "id", "parent", "items")
+    return cut(dealt.groupBy("host", "parent").applyInArrow(merge, f"host string, id long, parent long, at array<int>, items {ITEMS}"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, sig, read): the wrapper of each host and, for each skeleton of it, whether to read each leaf.
 
-    One host's distinct skeletons meet in a task; they are as many as its page layouts, not as its pages.
+    Skeletons are aligned in groups, the groups' wrappers again, until each host has one: no task holds more than
+    about GROUP wrappers, however many layouts a host has. What is a slot is then told down to the skeletons.
     """
+    item = F.struct("place", "leaf", F.col("n").alias("pages"), "fixed")
+    first = slots(pages).groupBy("host", F.col("sig").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    first = cut(first.select("host", "id", F.transform("items", lambda i: F.struct(i["leaf"].alias("leaf"), i["pages"].alias("pages"), i["fixed"].alias("fixed"))).alias("items")))
+    levels = [aligned(first)]
+    while True:
+        above = levels[-1].filter("items IS NOT NULL").select("host", F.col("parent").alias("id"), "items")
+        if not above.groupBy("host").count().filter("count > 1").take(1):
+            break
+        levels.append(aligned(above))
+    totals = first.groupBy("host").agg(F.sum(F.col("items")[0]["pages"]).alias("total"))
 
-    def per_host(key, table):
-        held: dict[int, list[dict]] = {}
-        for row in table.to_pylist():
-            held.setdefault(row["sig"], []).append(row)
-        rows = []
-        for sig, leaves in held.items():
-            leaves.sort(key=lambda r: r["place"])
-            rows.append((sig, [r["leaf"] for r in leaves], leaves[0]["n"], [r["fixed"] for r in leaves]))
-        text, reads = infer(rows)
-        return pa.table({"host": [key[0].as_py()] * len(reads), "wrapper": [text] * len(reads), "sig": pa.array(reads, pa.int64()), "read": pa.array(list(reads.values()), pa.list_(pa.bool_()))})
+    @F.pandas_udf("string")
+    def text(items: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([shown(list(i), t) for i, t in zip(items, total, strict=True)], dtype=object)
+
+    top = above.join(totals, "host").select("host", F.col("id").alias("parent"), F.transform("items", lambda i: i["fixed"].isNotNull()).alias("known"), "total", text("items", "total").alias("wrapper"))
+    for level in reversed(levels):
+        told = level.select("host", "id", "parent", "at").join(top, ["host", "parent"])
+        top = told.select("host", F.col("id").alias("parent"), F.expr("transform(at, i -> known[i])").alias("known"), "total", "wrapper")
+
+    @F.pandas_udf("array<boolean>")
+    def read(items: pd.Series, known: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([leaves_to_read([i["leaf"] for i in own], list(k), t) for own, k, t in zip(items, known, total, strict=True)], dtype=object)
 
-    return slots(pages).groupBy("host").applyInArrow(per_host, "host string, wrapper string, sig long, read array<boolean>")
+    joined = first.withColumnRenamed("id", "parent").join(top, ["host", "parent"])
+    return joined.select("host", "wrapper", F.col("parent").alias("sig"), read("items", "known", "total").alias("read"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

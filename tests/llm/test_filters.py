@@ -149,7 +149,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_page():
     leaves, owner, texts = html_wrappers.skeleton(PAGE)
-    read = html_wrappers.infer([(1, leaves, 1, [None] * len(leaves))])[1][1]
+    read = html_wrappers.leaves_to_read(leaves, [False] * len(leaves), 1)
     assert [t for t, o in zip(texts, owner, strict=True) if read[o]] == ["Head line & more", "First part.", "Second <p> é.", "one", "two", "Last"]
 
 
@@ -159,6 +159,21 @@ def test_fold():
     assert leaves == list("xyz") and owner == [0, 1, 0, 1, 0, 1, 2]
 
 
+def test_alignment():
+    item = lambda leaf, fixed, pages=1: {"leaf": leaf, "pages": pages, "fixed": fixed}
+    wrapper, at = html_wrappers.align([(1, [item(".a", 7, 2), item(".c", 8, 2)]), (2, [item(".a", 7), item(".b", 9), item(".c", 5)])])
+    assert html_wrappers.shown(wrapper, 3) == "(a) (b)? (c #TEXT)" and at == {1: [0, 2], 2: [0, 1, 2]}
+
+
+@pytest.mark.parametrize("group", [500, 2])
+def test_wrappers_of_many_layouts(spark, group, monkeypatch):
+    monkeypatch.setattr(html_wrappers, "GROUP", group)
+    body = lambda i: "".join(f"<h{2 + (i >> b & 1)}>x{i}{b}</h{2 + (i >> b & 1)}>" for b in range(4))
+    rows = [(i, "http://h.org", f"<div class='top'>Always</div>{body(i)}<div class='end'>Ever</div>") for i in range(16)]
+    got = html_wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: "\n".join(f"x{i}{b}" for b in range(4)) for i in range(16)}
+
+
 def test_wrappers(spark):
     page = lambda i, extra="": f"<body><div class='top'>Always here</div>{extra}<div class='body'><p>Text {i}</p><p>More {i}</p></div><div class='end'>The end</div>"
     rows = [(i, "http://h.org/x", page(i, "<h2>Sometimes</h2>" if i % 2 else "")) for i in range(6)]
