@@ -74,3 +74,8 @@ def is_web_url(url: Column) -> Column:
 def utc_seconds(ts: Column) -> Column:
     """ISO 8601 to the second with the session's offset, as +00:00."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def quote_plus(text: Column) -> Column:
+    """Percent-encoding with + for a space, as Python does it: ~ stays, * doesn't, other than in url_encode."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomkit.functions.html import parse_results
-from loomkit.functions.strings import clamped, rendered_pairs
+from loomkit.functions.strings import clamped, quote_plus, rendered_pairs
 from loomkit.policy import Policy
 
 MAX_RESULTS = 5
+SEARCH_PAGE = "https://lite.duckduckgo.com/lite/?q="  # fixed value
+
+
+def search_url(query: Column) -> Column:
+    """Where the result page of a query is found, for whoever fetches it."""
+    return F.concat(F.lit(SEARCH_PAGE), quote_plus(query))
+
+
+def fetch_timeout(seconds: Column) -> Column:
+    return clamped(seconds, 1, 30)
 
 
 def is_challenge(html: Column) -> Column:

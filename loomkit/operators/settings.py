@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkit.functions.strings import is_truthy, or_default, py_strip
@@ -61,3 +64,10 @@ def routed(settings: DataFrame) -> DataFrame:
     model = F.when(F.col("r.client").isNotNull(), F.coalesce(
         *[F.when(F.col("model_provider") == p, F.col(f"{p}_model")) for p in ("openai", "google", "anthropic")], F.col("openai_compatible_model")))
     return settings.withColumn("r", r).withColumn("model", model).select(*settings.columns, "r.client", "model", "r.base_url", "r.error")
+
+
+def settings_from_env(spark: SparkSession, env: Mapping[str, str] | None = None) -> DataFrame:
+    """One row of settings from the driver's environment, or from the mapping given."""
+    env = os.environ if env is None else env
+    rows = [("env", key, env.get(key)) for key in KEYS]
+    return settings_from_rows(spark.createDataFrame(rows, "profile string, key string, value string"))

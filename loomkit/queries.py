@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkit.functions import arithmetic, strings
-from loomkit.functions.html import unwrap_redirect
+from loomkit.functions.html import decode_body, unwrap_redirect
 from loomkit.operators import commands, files, messages, pages, search, settings, tasks
 from loomkit.plans.dispatch import Captured, run_tool_calls
 from loomkit.policy import Policy
+from loomkit.streaming.tasks import queue_answers, run_to_end
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +91,14 @@ def page_scheme_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(strings.is_web_url(F.col("url")), F.lit(False)).alias("is_web"))
 
 
+@query("SELECT page_id, md5(html) AS utf8, md5(regexp_replace(html, '[^\\x01-\\xFF]', '?', 'g')) AS latin FROM pages")
+def page_decode(spark, sf_dir):
+    body = lambda name: F.encode(F.regexp_replace("html", r"[^\x01-\xFF]", "?"), name)
+    text = lambda b, kind: F.md5(decode_body(b, F.lit(kind)).cast("binary"))
+    pages_ = table(spark, sf_dir, "pages")
+    return pages_.select("page_id", text(F.encode("html", "UTF-8"), "text/html").alias("utf8"), text(body("ISO-8859-1"), 'text/html; charset="latin-1"').alias("latin"))
+
+
 # Search results
 
 WRAPPED = "concat('https://duckduckgo.com/l/?uddg=', url_encode(url_encode(url)))"
@@ -111,6 +120,11 @@ def search_redirect_unwrap(spark, sf_dir):
     return made.select("page_id", unwrap_redirect(F.col("href")).alias("target"))
 
 
+@query("SELECT doc_id, 'https://lite.duckduckgo.com/lite/?q=' || replace(url_encode(left(text, 80) || ' ~*'), '%20', '+') AS url FROM documents")
+def search_urls(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", search.search_url(F.concat(F.left("text", F.lit(80)), F.lit(" ~*"))).alias("url"))
+
+
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Web search error: search provider returned an anti-bot challenge.' WHEN page_id % 3 = 1 THEN 'No web search results found.'
 ELSE 'Search results for: q' || page_id || chr(10) || '1. T' || chr(10) || '   ' || url END AS output FROM pages""")
 def search_rendered(spark, sf_dir):
@@ -221,6 +235,18 @@ def task_events_latest(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("k", rank).filter("k = 1").select("user_id", "event_type", "event_id", "value")
 
 
+@query("""WITH c AS (SELECT conv_id, turn, conv_id * 1000 + turn AS seq, turn % 4 AS step FROM conversations), f AS (SELECT conv_id, min(seq) FILTER (turn = 0) AS first FROM c GROUP BY conv_id)
+SELECT seq, 'q' || conv_id AS queue_id, turn = 0 OR coalesce(first < seq, false) AND step BETWEEN 1 AND 2 AS ok FROM c JOIN f USING (conv_id)""")
+def task_stream(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations")
+    stream = spark.readStream.schema(talk.schema).parquet(f"{sf_dir}/conversations.parquet*")
+    log = stream.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.timestamp_seconds(F.col("conv_id")).alias("ts"), F.when(F.col("turn") == 0, "create").otherwise("update").alias("op"), F.concat(F.lit("q"), F.col("conv_id")).alias("queue_id"),
+        F.lit("t").alias("title"), F.array("text", F.lit("second")).alias("steps"), (F.col("turn") % 4).cast("int").alias("step_index"), F.lit("blocked").alias("status"), F.col("role").alias("note"),
+    )
+    return run_to_end(queue_answers(log), spark).select("seq", "queue_id", "ok")
+
+
 # Documents and files
 
 

@@ -7,10 +7,12 @@ has no key and belongs to the batch side.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -74,3 +76,16 @@ def queue_answers(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     created = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssxxx").alias("created")
     rows = log.filter("op IN ('create', 'update', 'get') AND queue_id IS NOT NULL").select("seq", "queue_id", "op", "title", "steps", "step_index", "status", "note", created)
     return rows.groupBy("queue_id").transformWithStateInPandas(QueueProcessor(ttl_ms), outputStructType=OUTPUT, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "none")
+
+
+def run_to_end(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """Runs a stream over what its source holds now and returns the rows it appended.
+
+    Rows and state are written to the folder that spark.checkpoint.dir names; only where none is named, as in tests,
+    to a temporary one.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='loomkit-stream-')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

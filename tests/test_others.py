@@ -135,3 +135,16 @@ def test_sql_functions(spark):
     assert tuple(r) == ("2", "T", "x")
     rows = spark.sql("SELECT l.* FROM VALUES ('https://h.org', '<a href=\"/x\">X</a>') AS p(url, html), LATERAL page_links(p.url, p.html) AS l").collect()
     assert [tuple(x) for x in rows] == [(1, "X", "https://h.org/x")]
+
+
+def test_urls_and_environment(spark):
+    import urllib.parse
+
+    from loomkit.operators import search
+
+    t = "a b&c=~*é/%+-_."
+    assert one(spark, strings.quote_plus(F.col("t")), t=t) == urllib.parse.quote_plus(t)
+    assert one(spark, search.search_url(F.lit("x y"))).endswith("?q=x+y")
+    assert [one(spark, search.fetch_timeout(F.lit(n))) for n in (0, 12, 99)] == [1, 12, 30]
+    s = settings.settings_from_env(spark, {"MODEL_PROVIDER": " OpenAI ", "DASHSCOPE_API_KEY": "k"}).first()
+    assert (s.model_provider, s.openai_compatible_api_key, s.model_temperature, s.agent_enable_browser_tools) == ("openai", "k", 0.2, True)
