@@ -159,5 +159,12 @@ t AS (SELECT source, source_size, least(cap, (SELECT level FROM level) * weight)
 b AS (SELECT doc_id, d.source, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, size, source_size, target, (epochs * size + least(greatest(floor(target)::BIGINT - epochs * source_size - before, 0), size))::BIGINT AS taken FROM b
+""",
+    # These pages have one layout, so a plain reading of it can stand against the wrappers.
+    "op9_html": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS m FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(m, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+  regexp_replace(replace(replace(replace(regexp_replace(x, '<(br|/?b)>', ' ', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS l FROM a)
+SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(l, lambda x: x <> ''), chr(10)))::BIGINT AS n_chars FROM b
 """,
 }
