@@ -101,7 +101,9 @@ def links_between(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = halves.groupBy("half", "value").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     sizes = sizes.withColumn("m", F.ceil(F.col("n") / block).cast("int"))
 
-    variants = sizes.selectExpr("half", "value", "explode(transform(sequence(0, 31), i -> (value & ~shiftleft(1L, i)) * 64 + i * 2 + half)) AS key")
+    # 32 variants come of each row, so these few rows are dealt out again before.
+    spread = sizes.select("half", "value").repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "half", "value")
+    variants = spread.selectExpr("half", "value", "explode(transform(sequence(0, 31), i -> (value & ~shiftleft(1L, i)) * 64 + i * 2 + half)) AS key")
     one_off = variants.groupBy("key").agg(F.min("value").alias("v0"), F.max("value").alias("v1")).filter("v0 <> v1")
     one_off = one_off.selectExpr("cast(key & 1 AS int) AS half", "v0", "v1")
     for k in "01":
