@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomkit.llm.common import count_words
+from loomkit.llm.common import count_words, cut
 
 MOST_EPOCHS = 3
 BUCKET_ROWS = 2000
@@ -49,7 +49,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", F.col("source").alias("source"), count_words(F.col("text")).alias("size"), key.alias("key"))
 
-    light = docs.select("source", count_words(F.col("text")).alias("size"), key.alias("key"))
+    light = cut(docs.select("source", count_words(F.col("text")).alias("size"), key.alias("key")))
     sources = targets(light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     sources = sources.select(F.col("source").alias("of"), "source_size", "target", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
     in_bucket = F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * F.col("buckets") / F.lit(1 << 28)).alias("bucket")
