@@ -158,24 +158,44 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str | None =
     return packed(shards, tokenizer_path, pack_tokens), members
 
 
+READ = pa.schema([("path_id", pa.string()), ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), ("loss_text", pa.string()), ("formatted_chars", pa.int64())])
+
+
+def read_pack(rows: list[dict]) -> list[tuple]:
+    """The paths of one pack, whose rows come in the order of their text."""
+    whole = "".join(r["text"] for r in rows)
+    loss = [(s["start"], s["stop"]) for r in rows for s in r["loss"]]
+    out = []
+    for r in rows:
+        spans = [(s["start"], s["stop"]) for s in r["char_attends"]] + [(r["char_start"], r["char_start"] + len(r["text"]))]
+        text = "".join(whole[a:b] for a, b in spans)
+        learned = [whole[x:y] for a, b in spans for x, y in loss[bisect.bisect_left(loss, (a, 0)) : bisect.bisect_left(loss, (b, 0))]]
+        turns = [{"role": unescaped(m[1]), "text": unescaped(m[2])} for m in TURN.finditer(text)]
+        out.append((r["path_id"], turns, "".join(map(unescaped, learned)), len(text)))
+    return out
+
+
 def read_back(packs: DataFrame) -> DataFrame:
     """Reads the formatted text again: path_id, turns (role, text), loss_text (what stands under the loss mask,
-    unescaped) and formatted_chars of each path. A pack is read in one task."""
-
-    def read(key, table):
-        rows = sorted(table.select(["path_id", "text", "char_start", "char_attends", "loss"]).to_pylist(), key=lambda r: r["char_start"])
-        whole = "".join(r["text"] for r in rows)
-        loss = [(s["start"], s["stop"]) for r in rows for s in r["loss"]]
-        out: dict[str, list] = {"path_id": [], "turns": [], "loss_text": [], "formatted_chars": []}
-        for r in rows:
-            spans = [(s["start"], s["stop"]) for s in r["char_attends"]] + [(r["char_start"], r["char_start"] + len(r["text"]))]
-            text = "".join(whole[a:b] for a, b in spans)
-            learned = [whole[x:y] for a, b in spans for x, y in loss[bisect.bisect_left(loss, (a, 0)) : bisect.bisect_left(loss, (b, 0))]]
-            out["path_id"].append(r["path_id"])
-            out["turns"].append([{"role": unescaped(m[1]), "text": unescaped(m[2])} for m in TURN.finditer(text)])
-            out["loss_text"].append("".join(map(unescaped, learned)))
-            out["formatted_chars"].append(len(text))
-        turns = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
-        return pa.table(out, schema=pa.schema([("path_id", pa.string()), ("turns", turns), ("loss_text", pa.string()), ("formatted_chars", pa.int64())]))
-
-    return packs.groupBy("pack_id").applyInArrow(read, "path_id string, turns array<struct<role:string,text:string>>, loss_text string, formatted_chars long")
+    unescaped) and formatted_chars of each path. A task holds one pack at a time."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
+
+        held: list[dict] = []
+        for batch in batches:
+            done: list[tuple] = []
+            for row in batch.to_pylist():
+                if held and held[0]["pack_id"] != row["pack_id"]:
+                    done += read_pack(held)
+                    held = []
+                held.append(row)
+            if done:
+                yield table(done)
+        if held:
+            yield table(read_pack(held))
+
+    needed = packs.select("pack_id", "path_id", "text", "char_start", "char_attends", "loss")
+    ordered = needed.repartition("pack_id").sortWithinPartitions("pack_id", "char_start")
+    return ordered.mapInArrow(read, "path_id string, turns array<struct<role:string,text:string>>, loss_text string, formatted_chars long")
