@@ -68,14 +68,23 @@ def window_hashes(hashes: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C1
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the session names in spark.checkpoint.dir; only where none is named (tests), a temporary one."""
+    """Uses the folder that the session names in spark.checkpoint.dir. Where none is named, a local session (tests) gets
+    a temporary one; on a cluster that would be a folder its executors don't share, so it is refused."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local"):
+        raise RuntimeError("Name a shared folder in spark.checkpoint.dir.")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomkit-checkpoint-"))
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store its path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes a frame now and cuts its lineage by a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
