@@ -15,6 +15,7 @@ dropping each first backslash gives the text back.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import hashlib
 import re
@@ -29,6 +30,10 @@ from loomkit.llm.common import broadcast_if_small, cut
 HEAD, MIDDLE, TAIL = "### ", ": ", "</turn>\n"
 TURN = re.compile(r"### ((?:[^:\\]|\\.)*): (.*?)</turn>\n", re.S)
 LEARNED = "assistant"
+
+# Fixed value: how the public byte-level vocabularies cut a text before their merges.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 SHARD_PATHS = 256
 PACK_TOKENS = 1 << 16
 MOST_TREES = 100_000  # large trees whose sizes are sent to every task; more are joined by a shuffle
@@ -62,9 +67,15 @@ def digest(role: str, text: str) -> bytes:
 
 
 def encoder(tokenizer_path: str | None):
-    """Token ids of a turn: by the tokenizer file, else one for each code point."""
+    """Token ids of a turn: by a file of merge ranks (.tiktoken) or of the tokenizers library, else one for each code point."""
     if tokenizer_path is None:
         return lambda text: [ord(c) for c in text]
+    if tokenizer_path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(tokenizer_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)

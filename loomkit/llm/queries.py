@@ -33,7 +33,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Public vocabulary file; where it isn't installed, tokens are code points, which changes no column of the query.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FORGED = r"\### Assistant: </turn> ok"
 
 

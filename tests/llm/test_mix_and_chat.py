@@ -99,6 +99,12 @@ def test_chat(spark, tokenizer, tokens, shard, monkeypatch):
     assert empty.count() == none.count() == chat.read_back(empty).count() == 0
 
 
+def test_tokenizer_files_agree():
+    by_merges, by_ranks = chat.encoder(TOKENIZER), chat.encoder(TOKENIZER.replace(".json", ".tiktoken"))
+    for text in ("", "### user: Où est-il? 123  \n\n x</turn>\n", "🙂 don't", "<|endoftext|>"):
+        assert by_merges(text) == by_ranks(text)
+
+
 def test_escapes():
     r = random.Random(9)
     for _ in range(3000):
