@@ -12,7 +12,7 @@ never all of its pairs. Components come from alternating star contractions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,11 +170,12 @@ def group_near_copies(docs: DataFrame) -> DataFrame:
     return marked_groups(docs).select("doc_id", "simhash", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = marked_groups) -> DataFrame:
     """The rows of `docs`, all columns, without those that near-copy another: of each component one row stays, that of
     the smallest doc_id (null ids last); of rows that share this id, the one with the smallest hash of its text, once.
+    `grouped` gives the components, as doc_id, text_key and root.
     """
-    groups = marked_groups(docs).selectExpr("root", "struct(doc_id IS NULL AS last, doc_id, text_key) AS rank")
+    groups = grouped(docs).selectExpr("root", "struct(doc_id IS NULL AS last, doc_id, text_key) AS rank")
     chosen = groups.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.doc_id", "rank.text_key")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))
     same = F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.text_key") == F.col("c.text_key"))
