@@ -2,7 +2,7 @@
 
 A text is the sequence of its lines that aren't blank, trimmed. Of each window of `run` lines the smallest line
 hash is its fingerprint: equal windows have equal fingerprints, so any repeated run of `run` lines is guaranteed
-to share one. Positions are joined where a fingerprint occurs twice; only around those are windows compared, which
+to share one. Where single long lines count as runs, each of them is a window of its own. Positions are joined where a fingerprint occurs twice; only around those are windows compared, which
 extends a match both ways for as long as the lines agree. All but the first occurrence of a run are deleted.
 """
 
@@ -11,27 +11,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomkit.llm.common import WORD
+
 
 def trimmed_lines(text: str) -> Column:
     """The lines of a text, without white space at either end; a null text has none."""
     return F.expr(rf"coalesce(transform(split({text}, '\n'), l -> regexp_replace(l, '^[\\x09-\\x0D\\x20]+|[\\x09-\\x0D\\x20]+$', '')), array())")
 
 
-def windows(docs: DataFrame, run: int) -> DataFrame:
-    """A row for each window of `run` lines: its document, place, fingerprint with its place, and two hashes of its lines."""
+def windows(docs: DataFrame, run: int, long_words: int | None = None) -> DataFrame:
+    """A row for each window of `run` lines, and of one line of `long_words` words or more: its document, place, size,
+    fingerprint with its place, and two hashes of its lines."""
     full = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.filter(trimmed_lines("text"), lambda line: line != "").alias("lines"))
-    full = full.filter(F.size("lines") >= run).withColumn("hashes", F.transform("lines", lambda line: F.xxhash64(line)))
+    runs = f"if(size(lines) >= {run}, sequence(1, size(lines) - {run - 1}), array())"
+    if long_words is None or run == 1:
+        full = full.filter(F.size("lines") >= run)
+        starts = f"transform({runs}, i -> struct(i AS at, {run} AS size))"
+    else:
+        # A word and the space before the next take two characters, so short lines needn't be counted.
+        is_long = lambda line: (F.length(line) >= 2 * long_words - 1) & (F.regexp_count(line, F.lit(WORD)) >= long_words)
+        full = full.withColumn("long", F.filter(F.transform("lines", lambda line, i: F.when(is_long(line), i + 1)), lambda i: i.isNotNull()))
+        full = full.filter((F.size("lines") >= run) | (F.size("long") > 0))
+        starts = f"concat(transform({runs}, i -> struct(i AS at, {run} AS size)), transform(long, i -> struct(i AS at, 1 AS size)))"
+    full = full.withColumn("hashes", F.transform("lines", lambda line: F.xxhash64(line)))
     each = F.expr(
-        f"""explode(transform(sequence(1, size(lines) - {run - 1}), i -> struct(
-            i AS at,
-            array_min(transform(slice(hashes, i, {run}), (h, j) -> struct(h AS hash, i + j AS place))) AS mark,
-            xxhash64(slice(lines, i, {run})) AS key, hash(slice(lines, i, {run})) AS more)))"""
+        f"""explode(transform({starts}, s -> struct(
+            s.at AS at, s.size AS size,
+            array_min(transform(slice(hashes, s.at, s.size), (h, j) -> struct(h AS hash, s.at + j AS place))) AS mark,
+            xxhash64(slice(lines, s.at, s.size)) AS key, hash(slice(lines, s.at, s.size)) AS more)))"""
     )
     return full.select("doc_id", "text_key", each.alias("w")).select("doc_id", "text_key", "w.*")
 
 
-def dedup_lines(docs: DataFrame, run: int = 2) -> DataFrame:
-    """Deletes each line that lies in a run of `run` or more lines which also occurs earlier.
+def dedup_lines(docs: DataFrame, run: int = 2, long_words: int | None = None) -> DataFrame:
+    """Deletes each line that lies in a run of `run` or more lines which also occurs earlier and, if `long_words` is
+    given, each line of that many words or more which occurs earlier by itself.
 
     Earlier means in a document of smaller doc_id, or before in the same text. Lines are compared without white space
     at their ends; blank lines are neither compared nor deleted. Takes doc_id and text and returns all columns with
@@ -42,14 +56,14 @@ def dedup_lines(docs: DataFrame, run: int = 2) -> DataFrame:
     An empty table gives an empty table. Runs of one document may overlap; their first lines stay. A line that very
     many documents share costs one row in each; counts are combined before they are shuffled.
     """
-    found = windows(docs, run)
+    found = windows(docs, run, long_words)
     marks = found.select("doc_id", "text_key", "mark").distinct().groupBy("mark.hash").agg(F.count("*").alias("n")).filter("n > 1")
     joined = found.withColumn("hash", F.col("mark.hash")).join(marks.select("hash"), "hash", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key", "at")
-    placed = joined.select("key", "more", place.alias("place"))
+    placed = joined.select("key", "more", "size", place.alias("place"))
     firsts = placed.groupBy("key", "more").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = placed.join(firsts.select("key", "more", "first"), ["key", "more"]).filter("place > first")
-    gone = later.groupBy("place.doc_id", "place.text_key").agg(F.flatten(F.collect_set(F.expr(f"sequence(place.at, place.at + {run - 1})"))).alias("gone"))
+    gone = later.groupBy("place.doc_id", "place.text_key").agg(F.flatten(F.collect_set(F.expr("sequence(place.at, place.at + size - 1)"))).alias("gone"))
 
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
     same = F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.text_key") == F.col("g.text_key"))
