@@ -36,7 +36,7 @@ SCOPES = frozenset("article aside body div footer form header html main nav ol s
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LONGEST_GROUP = 8  # blocks in a repeated group
-FEWEST_PAGES = 3  # of a host, before an unchanging block outside an article counts as part of the template
+FEWEST_PAGES = 3  # different ones that have a block, before an unchanging block outside an article counts as part of the template
 GROUP = 500  # wrappers that are aligned in one task
 MOST_SKELETONS = 50_000  # rows sent to every task; more are joined by a shuffle
 
@@ -148,7 +148,8 @@ def host_of(url: str | None) -> str:
 
 
 def slots(pages: DataFrame) -> DataFrame:
-    """(host, sig, place, leaf, n, fixed) of each leaf of each distinct skeleton: its pages, and the hash of their text if it is the same on all."""
+    """(host, sig, place, leaf, n, fixed) of each leaf of each distinct skeleton: its pages, those of equal texts
+    counted once, and the hash of their text if it is the same on all."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,14 +159,14 @@ def slots(pages: DataFrame) -> DataFrame:
                 held: list[list[str]] = [[] for _ in leaves]
                 for leaf, text in zip(owner, texts, strict=True):
                     held[leaf].append(text)
-                host, sig = host_of(url), signature(leaves)
-                rows += [(host, sig, i, leaf, xxhash.xxh3_64_intdigest("\n".join(t)) - (1 << 63)) for i, (leaf, t) in enumerate(zip(leaves, held, strict=True))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "sig", "place", "leaf", "slot"])
+                host, sig, whole = host_of(url), signature(leaves), xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)
+                rows += [(host, sig, i, leaf, xxhash.xxh3_64_intdigest("\n".join(t)) - (1 << 63), whole) for i, (leaf, t) in enumerate(zip(leaves, held, strict=True))]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "sig", "place", "leaf", "slot", "page"])
 
-    found = pages.select("url", "html").mapInArrow(parse, "host string, sig long, place long, leaf string, slot long")
-    return found.groupBy("host", "sig", "place", "leaf").agg(F.count("*").alias("n"), F.when(F.min("slot") == F.max("slot"), F.min("slot")).alias("fixed"))
+    found = pages.select("url", "html").mapInArrow(parse, "host string, sig long, place long, leaf string, slot long, page long")
+    return found.groupBy("host", "sig", "place", "leaf").agg(F.count_distinct("page").alias("n"), F.when(F.min("slot") == F.max("slot"), F.min("slot")).alias("fixed"))
 
 
 def align(children: list[tuple[int, list[dict]]]) -> tuple[list[dict], dict[int, list[int]]]:
@@ -236,7 +237,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, sig, read): the wrapper of each host and, for each skeleton of it, whether to read each leaf.
 
     Skeletons are aligned in groups, the groups' wrappers again, until each host has one: no task holds more than
-    about GROUP wrappers, however many layouts a host has. What is a slot is then told down to the skeletons.
+    about GROUP wrappers, however many layouts a host has. What is template, the same on FEWEST_PAGES pages or more,
+    is then told down to the skeletons.
     """
     item = F.struct("place", "leaf", F.col("n").alias("pages"), "fixed")
     first = slots(pages).groupBy("host", F.col("sig").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("items"))
@@ -253,7 +255,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def text(items: pd.Series, total: pd.Series) -> pd.Series:
         return pd.Series([shown(list(i), t) for i, t in zip(items, total, strict=True)], dtype=object)
 
-    top = above.join(totals, "host").select("host", F.col("id").alias("parent"), F.transform("items", lambda i: i["fixed"].isNotNull()).alias("known"), "total", text("items", "total").alias("wrapper"))
+    top = above.join(totals, "host").select("host", F.col("id").alias("parent"), F.transform("items", lambda i: i["fixed"].isNotNull() & (i["pages"] >= FEWEST_PAGES)).alias("known"), "total", text("items", "total").alias("wrapper"))
     for level in reversed(levels):
         told = level.select("host", "id", "parent", "at").join(top, ["host", "parent"])
         top = told.select("host", F.col("id").alias("parent"), F.expr("transform(at, i -> known[i])").alias("known"), "total", "wrapper")
@@ -271,7 +273,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Takes page_id, url and html; other columns are left out. The text is that of the article: what lies in article or
     main elements if the page has any, else every block that is neither boilerplate by its element or class nor the
-    same on all of at least FEWEST_PAGES pages of its host. Character references are decoded, white space inside a
+    same on all pages of its host that have it, if these are at least FEWEST_PAGES different ones. Character references are decoded, white space inside a
     block becomes one space, blocks are joined by a line feed. Null or empty html, and pages without text, give an
     empty text. A null url, or one without ://, belongs to the host "". Repeated rows come out alike and ids may be
     null. An empty table gives an empty table.
