@@ -27,6 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 OUTSIDE = frozenset("aside button canvas dialog fieldset footer form head iframe input label menu nav noscript object option script select style svg template textarea title".split())
 MARKS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+HOLDS = frozenset("comment comments disqus promo promoted related respond sponsor sponsored".split())  # hold an article inside them outside wherever they stand in a name
 HEADS = frozenset("banner header masthead".split())
 MAIN = frozenset(["article", "main"])
 RAW = frozenset(["script", "style"])
@@ -44,19 +45,19 @@ MOST_SKELETONS = 50_000  # rows sent to every task; more are joined by a shuffle
 def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
     """The text blocks of a page in order: path, whether it is inside a main element, whether it is outside the article, text."""
     out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, main, outside
+    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # tag, path, main, outside, whether articles inside are outside too
     parts: list[str] = []
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, path, main, outside = stack[-1]
+                _, path, main, outside, _ = stack[-1]
                 out.append((path, main, outside, text))
             parts.clear()
 
     def close(depth: int) -> None:
-        if any(e[0] in BLOCKS or e[3] for e in stack[depth:]):
+        if any(e[0] in BLOCKS or e[3] for e in stack[depth:]) or stack[depth - 1][3] != stack[-1][3]:
             flush()
         del stack[depth:]
 
@@ -94,15 +95,20 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
                 break
         if tag in VOID:
             continue
-        _, path, main, outside = stack[-1]
-        names = {w for m in NAMES.finditer(found[3]) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if w}
+        _, path, main, outside, held = stack[-1]
+        values = [(m[2] or m[3] or m[4] or "").lower() for m in NAMES.finditer(found[3])]
+        names = {w for v in values for w in re.split(r"[^a-z0-9]+", v) if w}
         is_main = tag in MAIN or "main" in names and re.search(r"role\s*=\s*[\"']?main", found[3], re.I) is not None
-        if tag not in MAIN and tag not in ("html", "body"):
+        if is_main:
+            # A word inside a name (has-sidebar) or a form may be of the whole page's layout, so an article in it counts.
+            outside = held
+        elif tag not in ("html", "body"):
+            held = held or tag in OUTSIDE - {"fieldset", "form"} or not main and tag == "header" or bool({t for v in values for t in v.split()} & MARKS or names & HOLDS)
             outside = outside or tag in OUTSIDE or bool(names & MARKS) or not main and (tag == "header" or bool(names & HEADS))
         inner = f"{path}/{tag}{''.join('.' + n for n in sorted(names))}" if tag in BLOCKS else path
-        if outside and not stack[-1][3]:
+        if outside != stack[-1][3]:
             flush()
-        stack.append((tag, inner, main or is_main, outside))
+        stack.append((tag, inner, main or is_main, outside, held))
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
             at = end.start() if end else len(page)
@@ -272,7 +278,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """The main text of each page by its host's wrapper: page_id, url, text, n_chars (code points of text).
 
     Takes page_id, url and html; other columns are left out. The text is that of the article: what lies in article or
-    main elements if the page has any, else every block that is neither boilerplate by its element or class nor the
+    main elements if the page has any (not of those in comments, asides and the like; a layout's class or a form around
+    them doesn't matter), else every block that is neither boilerplate by its element or class nor the
     same on all pages of its host that have it, if these are at least FEWEST_PAGES different ones. Character references are decoded, white space inside a
     block becomes one space, blocks are joined by a line feed. Null or empty html, and pages without text, give an
     empty text. A null url, or one without ://, belongs to the host "". Repeated rows come out alike and ids may be

@@ -15,3 +15,17 @@ def test_block_of_one_page_stays(spark):
     got = texts(spark, rows)
     assert all(got[i] == f"Head {i}\nText {i}" for i in range(5))
     assert {got[i] for i in (9, 10, 11)} == {"Head 9\nText 9\nQuoted\nAfter"}
+
+
+def test_wrapped_article_stays():
+    def read(page):
+        leaves, owner, found = html_wrappers.skeleton(page)
+        chosen = html_wrappers.leaves_to_read(leaves, [False] * len(leaves), 1)
+        return [t for t, o in zip(found, owner, strict=True) if chosen[o]]
+
+    article = "<article><h1>Head</h1><p>Text</p><div class='share'>Share</div></article>"
+    for around in ("div class='layout has-sidebar'", "div class='with-ads'", "section class=no-menu", "div id='page-nav-wrap'", "form", "div class='has-sidebar'><div class='inner'"):
+        assert read(f"<body><{around}>{article}<p>Beside</p>") == ["Head", "Text"], around
+    assert read("<div class='has-sidebar'><div role='main'><p>Text</p></div></div>") == ["Text"]
+    for around in ("aside", "nav", "footer", "div class='sidebar'", "div id='post-comments'", "section class='related-posts'"):
+        assert read(f"<body>{article}<{around}><article><p>Other</p></article>") == ["Head", "Text"], around
