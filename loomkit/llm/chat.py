@@ -36,7 +36,6 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 
 SHARD_PATHS = 256
 PACK_TOKENS = 1 << 16
-MOST_TREES = 100_000  # large trees whose sizes are sent to every task; more are joined by a shuffle
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 PACKS = pa.schema([
@@ -165,7 +164,7 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str | None =
     large = sizes.filter(F.col("n") > SHARD_PATHS).select("tree", F.ceil(F.col("n") / SHARD_PATHS).alias("shards"))
     second = F.conv(F.hex(F.substring("path", 17, 4)), 16, 10).cast("long")
     shard = F.coalesce(F.floor(second * F.col("shards") / F.lit(1 << 32)), F.lit(0)).cast("long")
-    shards = distinct.join(broadcast_if_small(large, MOST_TREES), "tree", "left").withColumn("shard", shard)
+    shards = distinct.join(broadcast_if_small(large), "tree", "left").withColumn("shard", shard)
     return packed(shards, tokenizer_path, pack_tokens), members
 
 

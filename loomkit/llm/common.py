@@ -91,9 +91,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Marks a frame for broadcast only if a count shows at most `rows` rows; otherwise Spark shuffles for the join."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+SMALL_BYTES = 8 << 20  # a side of a join of so many bytes at most is sent to every task
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """Marks a frame for broadcast only if its rows take at most `most_bytes` as they are; otherwise Spark shuffles for
+    the join. Sizes are summed where the rows are; a frame that is costly to compute should be cut before."""
+    sized = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")) if df.columns else df
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(df) if total <= (SMALL_BYTES if most_bytes is None else most_bytes) else df
 
 
 def total_bytes(df: DataFrame, column: str) -> int:

@@ -39,7 +39,6 @@ NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 LONGEST_GROUP = 8  # blocks in a repeated group
 FEWEST_PAGES = 3  # different ones that have a block, before an unchanging block outside an article counts as part of the template
 GROUP = 500  # wrappers that are aligned in one task
-MOST_SKELETONS = 50_000  # rows sent to every task; more are joined by a shuffle
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
@@ -234,7 +233,7 @@ def aligned(wrappers_: DataFrame) -> DataFrame:
         })
 
     counts = wrappers_.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = wrappers_.join(broadcast_if_small(counts.filter("groups > 1"), MOST_SKELETONS), "host", "left")
+    dealt = wrappers_.join(broadcast_if_small(counts.filter("groups > 1")), "host", "left")
     dealt = dealt.withColumn("parent", F.pmod("id", F.coalesce("groups", F.lit(1)))).select("host", "id", "parent", "items")
     return cut(dealt.groupBy("host", "parent").applyInArrow(merge, f"host string, id long, parent long, at array<int>, items {ITEMS}"))
 
@@ -296,7 +295,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["host", "sig", "owner", "texts"])
 
     rows = pages.select("page_id", "url", parsed.asNondeterministic()("url", "html").alias("p")).select("page_id", "url", "p.*")
-    joined = rows.join(broadcast_if_small(reads, MOST_SKELETONS), ["host", "sig"], "left")
+    joined = rows.join(broadcast_if_small(reads), ["host", "sig"], "left")
     chosen = F.expr("filter(texts, (t, i) -> read[owner[i]])")
     text = F.coalesce(F.array_join(chosen, "\n"), F.lit(""))
     return joined.withColumn("text", text).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

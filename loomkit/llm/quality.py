@@ -1,21 +1,21 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates.
 
-Four statistics of each text are transformed to be near normal. For each language and source, a robust centre and
-covariance come from concentration steps over all of its documents: distances under the present estimate, the share
-ALPHA of the smallest ones, mean and covariance of those, again. Steps start from the coordinates' quartiles, so the
-result needs no random subsets. Distances are binned on a fine logarithmic grid and a group's cut is the first bin
-that holds the share, which is exact to the bin and needs only counts. A floor on each standard deviation keeps
-groups whose texts hardly differ from rejecting everything else.
+Four statistics of each text are transformed and put on a fine lattice. A group (language and source) is then a count
+for each occupied cell, however many documents it has, and cell counts are whole numbers, so estimates don't depend on
+the order in which partitions are merged. For each group the covariance of ALPHA of its points with the smallest
+determinant is sought: from several deterministic starts, concentration steps (the ALPHA points nearest to the present
+centre under the present covariance, their mean and covariance, again) go on until the determinant no longer falls;
+the start that ends at the smallest one decides. A floor on each standard deviation keeps groups whose texts hardly
+differ from rejecting everything else.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomkit.llm.common import broadcast_if_small, cut
@@ -24,13 +24,13 @@ from loomkit.llm.common import broadcast_if_small, cut
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
 
-# Of the transformed statistics: log of the mean word length, roots of symbols a word, of repeated lines a line, of repeated words a word.
+# Of the transformed statistics: log of the mean word length, roots of symbols a symbol or word, of repeated lines a line, of repeated words a word.
 FLOORS = (0.10, 0.10, 0.20, 0.20)
+CELL = 0.01  # edge of a lattice cell in each of them; the last three are below 1, the first below log of the longest text
 P = len(FLOORS)
-ALPHA, STEPS, CONFIDENCE = 0.75, 5, 0.999
-BINS = 16  # to a factor of two in squared distance
+ALPHA, CONFIDENCE = 0.75, 0.9999
+MOST_STEPS = 200
 FEWEST_WORDS, MOST_REPEATED = 50, 50
-MOST_GROUPS = 20_000  # estimates of so many groups are sent to every task; more are joined by a shuffle
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -53,7 +53,6 @@ def chi_square_point(p: float, df: int) -> float:
 
 
 CUTOFF = chi_square_point(CONFIDENCE, P)
-CONSISTENCY = ALPHA / chi_square(chi_square_point(ALPHA, P), P + 2)
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -101,71 +100,104 @@ def statistics_of(text: Column) -> Column:
 
 
 def with_vectors(df: DataFrame) -> DataFrame:
-    """From column q (statistics): base_failed, the transformed statistics x, and the group of lang and source."""
+    """From column q (statistics): base_failed, the lattice cell x of the transformed statistics, and the group of lang and source."""
     q = lambda name: F.col(f"q.{name}").cast("double")
     failed = (F.col("q.n_words") < FEWEST_WORDS) | (100 * F.col("q.n_repeat_words") > MOST_REPEATED * F.col("q.n_words"))
-    x = F.array(
+    shares = [
         F.log(q("word_chars") / q("n_words")),
-        F.sqrt(q("n_symbols") / q("n_words")),
+        F.sqrt(q("n_symbols") / (q("n_symbols") + q("n_words"))),
         F.sqrt(q("n_dup_lines") / q("n_lines")),
         F.sqrt(q("n_repeat_words") / q("n_words")),
-    )
+    ]
+    x = F.array(*[F.floor(v / CELL + 0.5).cast("int") for v in shares])
     group = F.xxhash64(F.col("lang").isNull(), "lang", F.col("source").isNull(), "source")
     return df.withColumn("base_failed", failed).withColumn("x", F.when(~failed, x)).withColumn("grp", group)
 
 
 def squared_distance() -> Column:
-    d = [F.col("x")[i] - F.col("centre")[i] for i in range(P)]
+    d = [F.col("x")[i] * F.lit(CELL) - F.col("centre")[i] for i in range(P)]
     return sum(d[i] * d[j] * F.col("precision")[i * P + j] for i in range(P) for j in range(P))
 
 
-def estimates_from(groups: DataFrame) -> DataFrame:
-    """Centre and inverse covariance of each group from its moments: s (sums of x), ss (sums of products), n."""
-
-    def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for grp, n, s, ss in zip(f.grp, f.n, f.s, f.ss, strict=True):
-                centre = np.asarray(s, dtype=float) / n
-                cov = np.asarray(ss, dtype=float).reshape(P, P) / n - np.outer(centre, centre)
-                inverse = np.linalg.inv(CONSISTENCY * cov + np.diag(np.square(FLOORS)))
-                rows.append((grp, centre.tolist(), inverse.ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["grp", "centre", "precision"])
-
-    return groups.mapInPandas(invert, "grp long, centre array<double>, precision array<double>")
-
-
-def fit(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(grp, centre, precision) of each group from the rows (grp, x) with an x; `vectors` is read once for each step."""
-    rows = vectors.filter("x IS NOT NULL").select("grp", "x")
-    quartiles = [F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(P)]
-    spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(P)]
-    start = rows.groupBy("grp").agg(*quartiles).select(
-        "grp",
-        F.array(*[F.col(f"p{i}")[1] for i in range(P)]).alias("centre"),
-        F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("precision"),
-    )
-    estimate = cut(start)
-    upto = Window.partitionBy("grp").orderBy("bin")
-    whole = Window.partitionBy("grp")
-    for _ in range(steps):
-        bins = F.floor(F.log2(squared_distance() + F.lit(1e-9)) * BINS).alias("bin")
-        binned = rows.join(broadcast_if_small(estimate, MOST_GROUPS), "grp").select("grp", "x", bins)
-        counts = binned.groupBy("grp", "bin").agg(F.count("*").alias("n"))
-        held = counts.select("grp", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("all"))
-        edge = cut(held.filter(F.col("upto") >= F.ceil(ALPHA * F.col("all"))).groupBy("grp").agg(F.min("bin").alias("edge")))
-        inner = binned.join(broadcast_if_small(edge, MOST_GROUPS), "grp").filter("bin <= edge")
-        sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(P)]
-        products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
-        moments = inner.groupBy("grp").agg(F.count("*").alias("n"), *sums, *products)
-        moments = moments.select("grp", "n", F.array(*[f"s{i}" for i in range(P)]).alias("s"), F.array(*[f"s{min(i, j)}_{max(i, j)}" for i in range(P) for j in range(P)]).alias("ss"))
-        estimate = cut(estimates_from(moments))
-    return estimate
+def moments(points: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    centre = weights @ points / weights.sum()
+    d = points - centre
+    return centre, (d * weights[:, None]).T @ d / weights.sum()
+
+
+def distances(points: np.ndarray, centre: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    d = points - centre
+    return np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d)
+
+
+def held(order: np.ndarray, weights: np.ndarray, size: float) -> np.ndarray:
+    """The weights of the first `size` points in that order; of the last cell just the part that fits."""
+    before = np.cumsum(weights[order]) - weights[order]
+    out = np.zeros(len(weights))
+    out[order] = np.clip(size - before, 0, weights[order])
+    return out
+
+
+def median(values: np.ndarray, weights: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    return values[order][np.searchsorted(np.cumsum(weights[order]), weights.sum() / 2)]
+
+
+def starts(points: np.ndarray, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Deterministic first estimates: medians with absolute deviations; the nearer half around the medians; the
+    covariance of directions from the medians; mean and covariance of all."""
+    floors = np.diag(np.square(FLOORS))
+    middle = np.array([median(points[:, i], weights) for i in range(P)])
+    spread = np.array([1.4826 * median(np.abs(points[:, i] - middle[i]), weights) for i in range(P)])
+    scaled = (points - middle) / np.maximum(spread, FLOORS)
+    far = np.sqrt(np.square(scaled).sum(axis=1))
+    near = held(np.argsort(far, kind="stable"), weights, math.ceil(weights.sum() / 2))
+    directions = scaled / np.where(far > 0, far, 1)[:, None] * np.maximum(spread, FLOORS)
+    out = [(middle, np.diag(np.maximum(spread, FLOORS) ** 2)), (middle, moments(directions, weights)[1] + floors)]
+    for w in (near, weights):
+        centre, cov = moments(points, w)
+        out.append((centre, cov + floors))
+    return out
+
+
+def smallest_determinant(points: np.ndarray, weights: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, covariance (made consistent for normal data, floors added) and its determinant for the share alpha of
+    the weighted points that concentration steps find from the best start."""
+    size = math.ceil(alpha * weights.sum())
+    consistency = alpha / chi_square(chi_square_point(alpha, P), P + 2) if alpha < 1 else 1.0
+    floors, best = np.diag(np.square(FLOORS)), None
+    for centre, cov in starts(points, weights):
+        last = math.inf
+        for _ in range(MOST_STEPS):
+            inner = held(np.argsort(distances(points, centre, cov), kind="stable"), weights, size)
+            centre, spread = moments(points, inner)
+            cov = consistency * spread + floors
+            now = float(np.linalg.det(cov))
+            if now >= last * (1 - 1e-12):
+                break
+            last = now
+        if best is None or now < best[2] * (1 - 1e-12):
+            best = centre, cov, now
+    return best
+
+
+def fit(vectors: DataFrame) -> DataFrame:
+    """(grp, centre, precision, determinant) of each group from the rows (grp, x) with an x. Documents are counted by
+    cell before they meet, so a task holds a group's occupied cells, not its documents."""
+    cells = vectors.filter("x IS NOT NULL").groupBy("grp", "x").agg(F.count("*").alias("n"))
+
+    def estimate(key, frame):
+        points = np.array(frame["x"].tolist(), dtype=np.int64)
+        order = np.lexsort(points.T)
+        centre, cov, determinant = smallest_determinant(points[order] * CELL, frame["n"].to_numpy(dtype=float)[order])
+        return pd.DataFrame([(key[0], centre.tolist(), np.linalg.inv(cov).ravel().tolist(), determinant)], columns=["grp", "centre", "precision", "determinant"])
+
+    return cells.groupBy("grp").applyInPandas(estimate, "grp long, centre array<double>, precision array<double>, determinant double")
 
 
 def judged(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds kept: false where the base rules fail, else whether the squared distance is within the cutoff."""
-    joined = vectors.join(broadcast_if_small(estimate, MOST_GROUPS), "grp", "left")
+    joined = vectors.join(broadcast_if_small(estimate.select("grp", "centre", "precision")), "grp", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(squared_distance() <= CUTOFF, F.lit(True))).drop("centre", "precision")
 
 
@@ -174,18 +206,19 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     base_failed, kept.
 
     Takes doc_id, text, lang and source; other columns are left out. Null, empty and blank texts have no words and
-    fail the base rules. Null languages and sources form groups of their own. Equal and repeated rows get equal
-    verdicts; a group of one document, or of equal ones, rejects none. An empty table gives an empty table.
+    fail the base rules. Very long texts are read whole, in time in proportion (n log n for the repeated windows);
+    a task holds one text's words at a time. Null languages and sources form groups of their own. Equal and repeated
+    rows get equal verdicts; a group of one document, or of equal ones, rejects none. Reruns and other partitionings
+    give the same verdicts. An empty table gives an empty table.
     """
     stats = docs.select("doc_id", "lang", "source", statistics_of(F.col("text")).alias("q"))
     vectors = cut(with_vectors(stats).select("doc_id", "q", "base_failed", "x", "grp"))
-    return judged(vectors, fit(vectors)).select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept")
+    return judged(vectors, cut(fit(vectors))).select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that quality_verdicts keeps. Statistics are computed again beside the text,
-    which spares a shuffle of the texts."""
-    vectors = lambda df: with_vectors(df.withColumn("q", statistics_of(F.col("text"))))
-    estimate = fit(cut(vectors(docs.select("text", "lang", "source")).select("grp", "x")))
-    rows = docs.select(F.struct("*").alias("row"), "text", "lang", "source")
-    return judged(vectors(rows), estimate).filter("kept").select("row.*")
+    """The rows of `docs`, all columns, that quality_verdicts keeps. Rows are written once beside their figures, which
+    spares both a shuffle of the texts and a second reading of them."""
+    rows = docs.select(F.struct("*").alias("row"), "lang", "source", statistics_of(F.col("text")).alias("q"))
+    vectors = cut(with_vectors(rows).select("row", "base_failed", "x", "grp").filter("NOT base_failed"))
+    return judged(vectors, cut(fit(vectors))).filter("kept").select("row.*")

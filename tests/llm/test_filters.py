@@ -1,12 +1,15 @@
 """Decontamination, quality rules, licenses, wrappers and URLs, with nulls, ties, repeated rows and empty tables."""
 
+import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from loomkit.llm import decontaminate, html_wrappers, licenses, quality, url_filter
+from loomkit.llm import common, decontaminate, html_wrappers, licenses, quality, url_filter
 
 
 def brute_matches(docs, items):
@@ -53,64 +56,111 @@ def test_decontamination(spark, shuffled, monkeypatch):
     assert decontaminate.find_items(d.limit(0), b).count() == decontaminate.find_items(d, b.limit(0)).count() == 0
 
 
+def plain_statistics(text):
+    """The contract's figures read plainly, with the number of lines that have a word."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    again = {j for i, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for j in range(i, i + 3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(again), len(lines)
+
+
 def test_statistics():
     assert quality.statistics(None) == quality.statistics("") == (0, 0, 0, 0, 0, 0)
     assert quality.statistics("a b c\na b c\n\n x# é") == (8, 9, 1, 1, 6, 3)
     r = random.Random(1)
-    for _ in range(50):
-        words = [r.choice("abcd").encode() for _ in range(r.randrange(0, 40))]
-        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-        covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 3)}
-        assert quality.repeat_words(words) == len(covered)
+    for _ in range(400):
+        text = "".join(r.choice(["a", "b", "é", " ", " ", "\n", "\t", "\x0b", "\xa0", "\u2028", "#", "<", "🙂", "ab c ab c ab "]) for _ in range(r.randrange(0, 60)))
+        assert quality.statistics(text) == plain_statistics(text)
+    long = "x y z " * 300_000 + "\n" + "#" * 100_000
+    assert quality.statistics(long)[:3] == (900_001, 1_000_000, 100_000) and quality.statistics(long)[4] == 900_000
 
 
 def test_constants():
-    assert math.isclose(quality.CUTOFF, 18.4668, abs_tol=1e-3) and math.isclose(quality.chi_square(5.385, 4), 0.75, abs_tol=1e-3)
+    assert math.isclose(quality.CUTOFF, 23.5127, abs_tol=1e-3) and math.isclose(quality.chi_square(5.385, 4), 0.75, abs_tol=1e-3)
+
+
+def covariance(x):
+    c = 0.75 / quality.chi_square(quality.chi_square_point(0.75, 4), 6)
+    return c * np.cov(x.T, bias=True) + np.diag(np.square(quality.FLOORS))
+
+
+def steps_from(x, inner):
+    """Concentration steps over plain rows, to the end."""
+    while True:
+        centre, cov = x[inner].mean(axis=0), covariance(x[inner])
+        d = np.einsum("ni,ij,nj->n", x - centre, np.linalg.inv(cov), x - centre)
+        nearer = np.argsort(d, kind="stable")[: len(inner)]
+        if np.linalg.det(covariance(x[nearer])) >= np.linalg.det(cov) * (1 - 1e-12):
+            return centre, cov
+        inner = nearer
+
+
+def test_smallest_determinant_among_all_subsets():
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        x = np.concatenate([r.normal(0, 0.3, (8, 4)), r.normal(3, 0.3, (2, 4))])
+        best = min(np.linalg.det(covariance(x[list(s)])) for s in itertools.combinations(range(10), 8))
+        centre, cov, det = quality.smallest_determinant(x, np.ones(10))
+        assert math.isclose(det, best, rel_tol=1e-9) and math.isclose(det, np.linalg.det(cov), rel_tol=1e-9)
+
+
+def test_no_random_start_ends_lower():
+    """A third of the points lies elsewhere; 200 random starts over plain rows find nothing smaller."""
+    r = np.random.default_rng(5)
+    x = np.round(np.concatenate([r.normal(0, 0.4, (90, 4)), r.normal(2, 0.2, (10, 4)), r.normal(-3, 1, (15, 4))]), 1)
+    cells, counts = np.unique(x, axis=0, return_counts=True)
+    det = quality.smallest_determinant(cells, counts.astype(float))[2]
+    size = math.ceil(0.75 * len(x))
+    assert det <= min(np.linalg.det(steps_from(x, r.permutation(len(x))[:size])[1]) for _ in range(200)) * (1 + 1e-9)
 
 
 def brute_verdicts(rows):
-    """The same estimates with numpy, group by group."""
-    out = {}
-    stats = [(k, (lang, source), quality.statistics(text)) for k, (text, lang, source) in enumerate(rows)]
-    groups = {}
-    for k, g, (n, chars, symbols, dup, rep, lines) in stats:
-        failed = n < 50 or 100 * rep > 50 * n
+    """Verdicts from plain figures and the best of many random starts and the quartiles', group by group."""
+    r = np.random.default_rng(1)
+    out, groups = {}, {}
+    for k, (text, lang, source) in enumerate(rows):
+        n, chars, symbols, dup, rep, lines = plain_statistics(text)
         out[k] = False
-        if not failed:
-            groups.setdefault(g, []).append((k, (math.log(chars / n), math.sqrt(symbols / n), math.sqrt(dup / lines), math.sqrt(rep / n))))
+        if not (n < 50 or 100 * rep > 50 * n):
+            x = (math.log(chars / n), math.sqrt(symbols / (symbols + n)), math.sqrt(dup / lines), math.sqrt(rep / n))
+            groups.setdefault((lang, source), []).append((k, [math.floor(v / 0.01 + 0.5) * 0.01 for v in x]))
     for members in groups.values():
         x = np.array([v for _, v in members])
-        low, middle, high = (np.sort(x, axis=0)[max(0, math.ceil(p * len(x)) - 1)] for p in (0.25, 0.5, 0.75))
-        centre, precision = middle, np.diag(1 / np.maximum((high - low) / 1.349, quality.FLOORS) ** 2)
-        for _ in range(quality.STEPS):
-            d = np.einsum("ni,ij,nj->n", x - centre, precision, x - centre)
-            bins = np.floor(np.log2(d + 1e-9) * quality.BINS)
-            inner = x[bins <= np.sort(bins)[math.ceil(quality.ALPHA * len(x)) - 1]]
-            centre = inner.mean(axis=0)
-            cov = inner.T @ inner / len(inner) - np.outer(centre, centre)
-            precision = np.linalg.inv(quality.CONSISTENCY * cov + np.diag(np.square(quality.FLOORS)))
-        d = np.einsum("ni,ij,nj->n", x - centre, precision, x - centre)
+        size = math.ceil(0.75 * len(x))
+        far = np.square((x - np.median(x, axis=0)) / quality.FLOORS).sum(axis=1)
+        tries = [np.argsort(far, kind="stable")[:size]] + [r.permutation(len(x))[:size] for _ in range(30)]
+        centre, cov = min((steps_from(x, t) for t in tries), key=lambda e: np.linalg.det(e[1]))
+        d = np.einsum("ni,ij,nj->n", x - centre, np.linalg.inv(cov), x - centre)
         for (k, _), v in zip(members, d, strict=True):
             out[k] = bool(v <= quality.CUTOFF)
     return out
 
 
-@pytest.mark.parametrize("most_groups", [20_000, 0])
-def test_quality(spark, most_groups, monkeypatch):
-    monkeypatch.setattr(quality, "MOST_GROUPS", most_groups)
+@pytest.mark.parametrize("small", [8 << 20, -1])
+def test_quality(spark, small, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_BYTES", small)
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang", "source").collect()]
     docs = [(t, lang, None if i % 17 == 0 else "one" if i % 2 else "two") for i, (t, lang, _) in enumerate(docs)]
     docs += [(None, "en", "one"), ("", None, None), (docs[5][0], None, "lonely"), docs[6], docs[6]]
-    df = spark.createDataFrame([(k, *d) for k, d in enumerate(docs)], "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS grp", "2 AS q", "3 AS centre")
+    df = spark.createDataFrame([(k, *d) for k, d in enumerate(docs)], "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS grp", "2 AS q", "3 AS centre", "4 AS row", "5 AS x")
     got = {r.doc_id: r for r in quality.quality_verdicts(df).collect()}
     expected = brute_verdicts(docs)
     assert {k: r.kept for k, r in got.items()} == expected and not all(expected.values())
     for k, r in got.items():
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == quality.statistics(docs[k][0])[:5]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_statistics(docs[k][0])[:5]
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(k for k, v in expected.items() if v)
 
 
+def test_quality_of_other_partitionings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = quality.fit(quality.with_vectors(df.coalesce(1).withColumn("q", quality.statistics_of(df.text)))).collect()
+    dealt = quality.fit(quality.with_vectors(df.repartition(7).withColumn("q", quality.statistics_of(df.text)))).collect()
+    assert sorted(whole) == sorted(dealt)
+
+
 def test_quality_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.quality_verdicts(df).count() == quality.keep_good(df).count() == 0
