@@ -9,12 +9,13 @@ from loomkit.policy import TRUTHY
 
 # The characters Python counts as white space, and its line ends.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def py_strip(text: Column) -> Column:
     """str.strip(): all Unicode white space, where trim() would take spaces only."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse_space(text: Column) -> Column:

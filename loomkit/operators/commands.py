@@ -10,6 +10,7 @@ from loomkit.functions.strings import clamped, is_approved, py_strip, truncated
 from loomkit.policy import Policy
 
 SHELL_OFF = "Shell command execution is disabled by AGENT_ENABLE_SHELL_COMMANDS."
+NOT_CAPTURED = "Not captured."
 
 
 def section(name: str, text: Column) -> Column:
@@ -35,16 +36,22 @@ def shell_reason(cwd: Column, root: Column) -> Column:
 
 
 def command_outputs(results: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Adds `output` to captured results (schemas.COMMAND_RESULT, with cwd and answer): checks first, then the result."""
+    """Adds `ok` and `output` to captured results (schemas.COMMAND_RESULT, with cwd and answer): checks first, then the
+    result. Refused and timed-out commands aren't ok; one that ended is, whatever its exit code. A row without a
+    result (cwd_exists or exit_code null where they are needed) wasn't captured."""
     if not policy.shell_enabled:
-        return results.withColumn("output", F.lit(SHELL_OFF))
+        return results.withColumn("ok", F.lit(False)).withColumn("output", F.lit(SHELL_OFF))
     c, root = F.col, F.lit(policy.root)
     seconds = clamped(c("timeout_seconds"), 1, 120)
-    output = (
-        F.when(~c("cwd_exists"), F.concat(F.lit("Working directory does not exist: "), c("cwd")))
-        .when(~c("cwd_is_dir"), F.concat(F.lit("Working directory is not a directory: "), c("cwd")))
-        .when(~is_approved(c("answer"), F.lit(policy.approval_enabled)), F.concat(F.lit("Shell command denied: "), shell_reason(c("cwd"), root)))
-        .when(c("timed_out"), formatted_timeout(seconds, c("stdout"), c("stderr"), c("max_chars")))
-        .otherwise(formatted_result(c("exit_code"), c("stdout"), c("stderr"), c("max_chars")))
+    text = lambda name: F.coalesce(c(name), F.lit(""))
+    said = lambda ok, message: F.struct(F.lit(ok).alias("ok"), message.alias("output"))
+    outcome = (
+        F.when(c("cwd_exists").isNull(), said(False, F.lit(NOT_CAPTURED)))
+        .when(~c("cwd_exists"), said(False, F.concat(F.lit("Working directory does not exist: "), c("cwd"))))
+        .when(~F.coalesce(c("cwd_is_dir"), F.lit(True)), said(False, F.concat(F.lit("Working directory is not a directory: "), c("cwd"))))
+        .when(~is_approved(c("answer"), F.lit(policy.approval_enabled)), said(False, F.concat(F.lit("Shell command denied: "), shell_reason(c("cwd"), root))))
+        .when(c("timed_out"), said(False, formatted_timeout(seconds, text("stdout"), text("stderr"), c("max_chars"))))
+        .when(c("exit_code").isNull(), said(False, F.lit(NOT_CAPTURED)))
+        .otherwise(said(True, formatted_result(c("exit_code"), text("stdout"), text("stderr"), c("max_chars"))))
     )
-    return results.withColumn("output", output)
+    return results.withColumn("outcome", outcome).select(*results.columns, "outcome.ok", "outcome.output")

@@ -53,11 +53,31 @@ def decoded_text(content: Column) -> Column:
 
 
 def read_texts(files: DataFrame, max_chars: Column | None = None) -> DataFrame:
-    """Adds `output` to files (path, content): the text, cut at the limit, or that it isn't UTF-8."""
+    """Adds `ok` and `output` to files (path, content): the text, cut at the limit, or that it isn't UTF-8."""
     text = decoded_text(F.col("content"))
     refusal = F.concat(F.lit("Could not decode as UTF-8 text file: "), F.col("path"))
     limit = F.lit(20000) if max_chars is None else max_chars
-    return files.withColumn("output", F.when(text.isNull(), refusal).otherwise(truncated(text, limit)))
+    return files.withColumn("ok", text.isNotNull()).withColumn("output", F.when(text.isNull(), refusal).otherwise(truncated(text, limit)))
+
+
+def known_paths(files: DataFrame | None, entries: DataFrame | None, directories: DataFrame | None = None) -> DataFrame | None:
+    """(target, is_dir) of each path that captured tables tell of: files (path), entries of directories, and
+    directories (path), among them empty ones. A path that is told of as both counts as a directory."""
+    tables = []
+    if files is not None:
+        tables.append(files.select(F.col("path").alias("target"), F.lit(False).alias("is_dir")))
+    if entries is not None:
+        tables.append(entries.select(F.col("directory").alias("target"), F.lit(True).alias("is_dir")))
+        own = F.concat(F.when(F.col("directory") == "/", "").otherwise(F.col("directory")), F.lit("/"), F.col("name"))
+        tables.append(entries.select(own.alias("target"), "is_dir"))
+    if directories is not None:
+        tables.append(directories.select(F.col("path").alias("target"), F.lit(True).alias("is_dir")))
+    if not tables:
+        return None
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("target").agg(F.max("is_dir").alias("is_dir"))
 
 
 def write_outcomes(requests: DataFrame, root: str, approval_enabled: bool = True) -> DataFrame:

@@ -40,14 +40,14 @@ def page_texts(pages: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFr
 def fetch_problem(pages: DataFrame) -> Column:
     """Why a row has no page: what the fetch reported (column fetch_error, if there is one) or a scheme that isn't http or https."""
     reported = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None).cast("string")
-    return F.coalesce(F.when(~is_web_url(F.col("url")), F.lit("Only http and https URLs are supported.")), reported)
+    return F.coalesce(F.when(~F.coalesce(is_web_url(F.col("url")), F.lit(False)), F.lit("Only http and https URLs are supported.")), reported)
 
 
 def opened_pages(pages: DataFrame, max_chars: Column | None = None, policy: Policy = Policy()) -> DataFrame:
-    """Adds `output`: address, title and text of each page, or why there is none. The limit counts the whole output."""
+    """Adds `ok` and `output`: address, title and text of each page, or why there is none. The limit counts the whole output."""
     limit = F.lit(MAX_CHARS) if max_chars is None else max_chars
     if not policy.browser_enabled:
-        return pages.withColumn("output", F.lit("Browser tools are disabled by AGENT_ENABLE_BROWSER_TOOLS."))
+        return pages.withColumn("ok", F.lit(False)).withColumn("output", F.lit("Browser tools are disabled by AGENT_ENABLE_BROWSER_TOOLS."))
     kind = F.coalesce(F.col("content_type"), F.lit("")) if "content_type" in pages.columns else F.lit("")
     problem = fetch_problem(pages)
     other = (kind != "") & ~F.contains(F.lower(kind), F.lit("html"))
@@ -58,14 +58,14 @@ def opened_pages(pages: DataFrame, max_chars: Column | None = None, policy: Poli
         .when(other, F.concat(F.lit("Fetched non-HTML content from "), F.col("url"), F.lit(". Content-Type: "), kind))
         .otherwise(truncated(shown, limit))
     )
-    return parsed_pages(pages).withColumn("output", output).drop("page")
+    return parsed_pages(pages).withColumn("ok", problem.isNull() & ~other).withColumn("output", output).drop("page")
 
 
 def listed_links(pages: DataFrame, max_links: Column | None = None, policy: Policy = Policy()) -> DataFrame:
-    """Adds `output`: the numbered links of each page, or why there are none. The content type doesn't matter here."""
+    """Adds `ok` and `output`: the numbered links of each page, or why there are none. The content type doesn't matter here."""
     limit = F.lit(MAX_LINKS) if max_links is None else max_links
     if not policy.browser_enabled:
-        return pages.withColumn("output", F.lit("Browser tools are disabled by AGENT_ENABLE_BROWSER_TOOLS."))
+        return pages.withColumn("ok", F.lit(False)).withColumn("output", F.lit("Browser tools are disabled by AGENT_ENABLE_BROWSER_TOOLS."))
     problem = fetch_problem(pages)
     links = first_links(F.col("page"), limit)
     output = (
@@ -73,4 +73,4 @@ def listed_links(pages: DataFrame, max_links: Column | None = None, policy: Poli
         .when(F.size("page.links") == 0, F.concat(F.lit("No links found on "), F.col("url"), F.lit(".")))
         .otherwise(F.concat(F.lit("Links found on "), F.col("url"), F.lit(":\n"), rendered_pairs(links, "label", "href")))
     )
-    return parsed_pages(pages).withColumn("output", output).drop("page")
+    return parsed_pages(pages).withColumn("ok", problem.isNull()).withColumn("output", output).drop("page")

@@ -40,9 +40,9 @@ def search_results(pages: DataFrame, max_results: int = MAX_RESULTS, keys: tuple
 
 
 def searched(pages: DataFrame, max_results: Column | None = None, policy: Policy = Policy()) -> DataFrame:
-    """Adds `output` from query and html (and fetch_error, if there is one): the numbered results or why there are none."""
+    """Adds `ok` and `output` from query and html (and fetch_error, if there is one): the numbered results or why there are none."""
     if not policy.search_enabled:
-        return pages.withColumn("output", F.lit("Web search is disabled by AGENT_ENABLE_WEB_SEARCH."))
+        return pages.withColumn("ok", F.lit(False)).withColumn("output", F.lit("Web search is disabled by AGENT_ENABLE_WEB_SEARCH."))
     problem = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None).cast("string")
     problem = F.coalesce(problem, F.when(is_challenge(F.col("html")), F.lit("search provider returned an anti-bot challenge.")))
     hits = pages.withColumn("hits", ranked(F.lit(MAX_RESULTS) if max_results is None else max_results))
@@ -51,4 +51,4 @@ def searched(pages: DataFrame, max_results: Column | None = None, policy: Policy
         .when(F.size("hits") == 0, F.lit("No web search results found."))
         .otherwise(F.concat(F.lit("Search results for: "), F.col("query"), F.lit("\n"), rendered_pairs(F.col("hits"), "title", "url")))
     )
-    return hits.withColumn("output", output).drop("hits")
+    return hits.withColumn("ok", problem.isNull()).withColumn("output", output).drop("hits")

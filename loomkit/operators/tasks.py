@@ -162,16 +162,17 @@ def command_outputs(log: DataFrame) -> DataFrame:
 
 
 def list_outputs(log: DataFrame) -> DataFrame:
-    """Each list command with the queues as of then. Every one of them names every queue, so this is for few lists."""
+    """Each list command with the queues as of then. Every one of them names every queue there was, which is the size
+    of its text; how many steps were done by then is a running sum over each queue's own changes."""
     lists = log.filter("op = 'list'").select(F.col("seq").alias("asked"))
-    changes = checked_updates(log).filter("ok")
-    flips = changes.select("seq", "queue_id", "step_index", (F.col("status") == "completed").cast("int").alias("done"))
+    flips = checked_updates(log).filter("ok").select("seq", "queue_id", "step_index", (F.col("status") == "completed").cast("int").alias("done"))
     step = Window.partitionBy("queue_id", "step_index").orderBy("seq")
-    deltas = flips.select("seq", "queue_id", (F.col("done") - F.coalesce(F.lag("done").over(step), F.lit(0))).alias("delta"))
+    changes = flips.select("seq", "queue_id", (F.col("done") - F.coalesce(F.lag("done").over(step), F.lit(0))).alias("change"))
     known = queues(log).select("queue_id", "title", "created_seq", F.size("steps").alias("total"))
-    at = lists.join(known, F.col("created_seq") < F.col("asked")).join(deltas.withColumnRenamed("queue_id", "of"), (F.col("of") == F.col("queue_id")) & (F.col("seq") < F.col("asked")), "left")
-    counted = at.groupBy("asked", "queue_id", "title", "created_seq", "total").agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("done"))
+    asks = lists.join(known, F.col("created_seq") < F.col("asked")).select(F.col("asked").alias("seq"), "queue_id", F.lit(0).alias("change"), "title", "created_seq", "total")
+    upto = Window.partitionBy("queue_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = asks.unionByName(changes, allowMissingColumns=True).withColumn("done", F.sum("change").over(upto)).filter("total IS NOT NULL")
     line = F.concat(F.col("queue_id"), F.lit(": "), F.col("title"), F.lit(" ("), F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" completed)"))
-    texts = counted.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("created_seq", line.alias("line")))).alias("lines"))
+    texts = counted.groupBy(F.col("seq").alias("asked")).agg(F.sort_array(F.collect_list(F.struct("created_seq", line.alias("line")))).alias("lines"))
     text = F.array_join(F.transform("lines", lambda r: r["line"]), "\n")
     return lists.join(texts, "asked", "left").select(F.col("asked").alias("seq"), F.lit(True).alias("ok"), F.coalesce(text, F.lit(NO_QUEUES)).alias("output"))

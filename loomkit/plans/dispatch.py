@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomkit.functions.arithmetic import calculate
+from loomkit.functions.paths import normalise
 from loomkit.functions.strings import utc_seconds
 from loomkit.operators import commands, files, pages, search, tasks
 from loomkit.policy import Policy
@@ -41,7 +42,9 @@ class Captured:
     """Tables that calls are joined to. A family without its table answers that the resource isn't captured.
 
     pages: url, html, content_type. results: query, html. files: path, content. entries: directory, name, is_dir.
-    commands: command, cwd and the rest of schemas.COMMAND_RESULT, answer.
+    directories: path (only needed for empty ones). commands: command, cwd and the rest of schemas.COMMAND_RESULT,
+    answer. Paths are absolute and normal. If a table has several rows for a key, the one of the greatest captured_at
+    counts (a column a table may have), then the greatest by its other columns: a call has one answer.
     """
 
     pages: DataFrame | None = None
@@ -49,6 +52,13 @@ class Captured:
     files: DataFrame | None = None
     entries: DataFrame | None = None
     commands: DataFrame | None = None
+    directories: DataFrame | None = None
+
+
+def latest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each key (see Captured)."""
+    order = [c for c in ("captured_at",) if c in df.columns]
+    return df.groupBy(*keys).agg(F.max(F.struct(*order, *columns)).alias("kept")).select(*keys, *[f"kept.{c}" for c in columns])
 
 
 def argument(name: str, kind: str = "string", default=None) -> Column:
@@ -61,69 +71,54 @@ def run_tool_calls(calls: DataFrame, captured: Captured = Captured(), policy: Po
     stamped = calls if "ts" in calls.columns else calls.withColumn("ts", F.current_timestamp())
     parsed = stamped.withColumn("args", F.try_parse_json(F.coalesce("args", F.lit("{}"))))
     of = lambda *names: parsed.filter(F.col("tool").isin(*names))
-    answer = lambda df, output, ok=None: df.select("call_id", "seq", "tool", (F.lit(True) if ok is None else ok).alias("ok"), output.alias("output"))
-    absent = F.lit("Not captured.")
+    answer = lambda df: df.select("call_id", "seq", "tool", "ok", "output")
+    absent = lambda df: answer(df.withColumn("ok", F.lit(False)).withColumn("output", F.lit(commands.NOT_CAPTURED)))
+    resolved = lambda name: normalise(argument(name, default="."), policy.cwd or policy.root, policy.home)
+    said = argument("answer")
 
-    counted = of("calculator").withColumn("r", calculate(argument("expression")))
     parts = [
-        answer(counted, F.col("r.display"), F.coalesce("r.ok", F.lit(False))),
-        answer(of("current_time"), utc_seconds(F.current_timestamp())),
-        answer(of("configured_provider"), F.lit(provider)),
-        answer(parsed.filter(~F.coalesce(F.col("tool").isin(*TOOLS), F.lit(False))), F.concat(F.lit("Unknown tool: "), F.coalesce("tool", F.lit("None"))), F.lit(False)),
+        answer(plain_answers(parsed, provider)),
+        answer(files.write_outcomes(of("write_local_file").withColumns({"path": resolved("path"), "content": argument("content", default=""), "mode": argument("mode", default="overwrite"), "answer": said}), policy.root, policy.approval_enabled)),
         *task_answers(of("create_task_queue", "update_task_step", "get_task_queue", "list_task_queues")),
     ]
 
     page_calls = of("open_web_page", "list_web_page_links").withColumn("url", argument("url"))
     if captured.pages is not None:
-        stored = page_calls.join(captured.pages.select("url", "html", "content_type"), "url", "left")
-        stored = stored.withColumn("fetch_error", F.when(F.col("html").isNull(), absent))
-        opened = pages.opened_pages(stored.filter("tool = 'open_web_page'"), argument("max_chars", "int", pages.MAX_CHARS), policy)
-        listed = pages.listed_links(stored.filter("tool = 'list_web_page_links'"), argument("max_links", "int", pages.MAX_LINKS), policy)
-        parts += [answer(opened, F.col("output"), F.col("html").isNotNull()), answer(listed, F.col("output"), F.col("html").isNotNull())]
+        stored = page_calls.join(latest(captured.pages, ["url"], ["html", "content_type"]), "url", "left")
+        stored = stored.withColumn("fetch_error", F.when(F.col("html").isNull(), commands.NOT_CAPTURED))
+        parts.append(answer(pages.opened_pages(stored.filter("tool = 'open_web_page'"), argument("max_chars", "int", pages.MAX_CHARS), policy)))
+        parts.append(answer(pages.listed_links(stored.filter("tool = 'list_web_page_links'"), argument("max_links", "int", pages.MAX_LINKS), policy)))
     else:
-        parts.append(answer(page_calls, absent, F.lit(False)))
+        parts.append(absent(page_calls))
 
     search_calls = of("web_search").withColumn("query", argument("query"))
     if captured.results is not None:
-        stored = search_calls.join(captured.results.select("query", "html"), "query", "left").withColumn("fetch_error", F.when(F.col("html").isNull(), absent))
-        found = search.searched(stored, argument("max_results", "int", search.MAX_RESULTS), policy)
-        parts.append(answer(found, F.col("output"), F.col("html").isNotNull()))
-    else:
-        parts.append(answer(search_calls, absent, F.lit(False)))
-
-    path = argument("path", default=".")
-    root, off = F.lit(policy.root), F.lit(policy.approval_enabled)
-    said = argument("answer")
-    reads = of("read_local_file", "list_local_directory").withColumn("path", path).withColumn("may", files.read_decision(F.col("path"), root, said, off))
-    readable = reads.filter("tool = 'read_local_file'")
-    if captured.files is not None:
-        stored = readable.join(captured.files.select("path", "content"), "path", "left")
-        text = files.read_texts(stored, argument("max_chars", "int", 20000))
-        shown = F.when(~F.col("may.allowed"), F.col("may.message")).when(F.col("content").isNull(), F.concat(F.lit("File does not exist: "), F.col("path"))).otherwise(F.col("output"))
-        parts.append(answer(text, shown, F.col("may.allowed") & F.col("content").isNotNull()))
+        stored = search_calls.join(latest(captured.results, ["query"], ["html"]), "query", "left")
+        stored = stored.withColumn("fetch_error", F.when(F.col("html").isNull(), commands.NOT_CAPTURED))
+        parts.append(answer(search.searched(stored, argument("max_results", "int", search.MAX_RESULTS), policy)))
     else:
-        parts.append(answer(readable, absent, F.lit(False)))
-    folders = reads.filter("tool = 'list_local_directory'")
-    if captured.entries is not None:
-        texts = files.listing_texts(captured.entries, captured.entries.select("directory").distinct())
-        stored = folders.join(texts, F.col("path") == F.col("directory"), "left")
-        shown = F.when(~F.col("may.allowed"), F.col("may.message")).otherwise(F.coalesce("output", F.concat(F.lit("Path does not exist: "), F.col("path"))))
-        parts.append(answer(stored, shown, F.col("may.allowed") & F.col("output").isNotNull()))
+        parts.append(absent(search_calls))
+
+    reads = of("read_local_file", "list_local_directory").withColumn("path", resolved("path"))
+    reads = reads.withColumn("may", files.read_decision(F.col("path"), F.lit(policy.root), said, F.lit(policy.approval_enabled)))
+    known = files.known_paths(captured.files, captured.entries, captured.directories)
+    if known is not None:
+        reads = reads.join(known.withColumnRenamed("target", "path"), "path", "left")
+        parts += [answer(read_answers(reads.filter("tool = 'read_local_file'"), captured)), answer(list_answers(reads.filter("tool = 'list_local_directory'"), captured))]
     else:
-        parts.append(answer(folders, absent, F.lit(False)))
+        denied = reads.withColumn("ok", F.lit(False)).withColumn("output", F.when(F.col("may.allowed"), commands.NOT_CAPTURED).otherwise(F.col("may.message")))
+        parts.append(answer(denied))
 
-    writes = of("write_local_file").withColumns({"path": path, "content": argument("content", default=""), "mode": argument("mode", default="overwrite"), "answer": said})
-    written = files.write_outcomes(writes, policy.root, policy.approval_enabled)
-    parts.append(answer(written, F.col("output"), F.col("ok")))
-
-    shells = of("execute_shell_command").withColumns({"command": argument("command"), "cwd": argument("cwd", default=".")})
+    shells = of("execute_shell_command").withColumns({"command": argument("command"), "cwd": resolved("cwd"), "said": said})
     if captured.commands is not None:
-        ran = shells.join(captured.commands.drop("timeout_seconds", "max_chars"), ["command", "cwd"], "left")
-        ran = ran.withColumns({"timeout_seconds": argument("timeout_seconds", "int", 30), "max_chars": argument("max_chars", "int", 20000)})
-        shown = commands.command_outputs(ran, policy)
-        parts.append(answer(shown, F.coalesce("output", absent), F.col("output").isNotNull()))
+        columns = ["cwd_exists", "cwd_is_dir", "exit_code", "stdout", "stderr", "timed_out", "answer"]
+        ran = shells.join(latest(captured.commands, ["command", "cwd"], columns), ["command", "cwd"], "left")
+        ran = ran.withColumns({"answer": F.coalesce("said", "answer"), "timeout_seconds": argument("timeout_seconds", "int", 30), "max_chars": argument("max_chars", "int", 20000)})
+        parts.append(answer(commands.command_outputs(ran, policy)))
+    elif not policy.shell_enabled:
+        parts.append(answer(shells.withColumn("ok", F.lit(False)).withColumn("output", F.lit(commands.SHELL_OFF))))
     else:
-        parts.append(answer(shells, F.lit(commands.SHELL_OFF) if not policy.shell_enabled else absent, F.lit(False)))
+        parts.append(absent(shells))
 
     out = parts[0]
     for part in parts[1:]:
@@ -131,6 +126,50 @@ def run_tool_calls(calls: DataFrame, captured: Captured = Captured(), policy: Po
     return out
 
 
+def plain_answers(parsed: DataFrame, provider: str) -> DataFrame:
+    """Calls that need no table: the calculator, the time, the provider, and tools nobody knows."""
+    plain = ["calculator", "current_time", "configured_provider"]
+    tool = F.coalesce("tool", F.lit("None"))
+    calls = parsed.filter(tool.isin(*plain) | ~tool.isin(*TOOLS))
+    counted = calls.withColumn("r", calculate(F.when(F.col("tool") == "calculator", argument("expression"))))
+    output = (
+        F.when(tool == "calculator", F.coalesce("r.display", F.lit("Calculation error: no expression")))
+        .when(tool == "current_time", utc_seconds(F.current_timestamp()))
+        .when(tool == "configured_provider", F.lit(provider))
+        .otherwise(F.concat(F.lit("Unknown tool: "), tool))
+    )
+    ok = F.when(tool == "calculator", F.coalesce("r.ok", F.lit(False))).otherwise(tool.isin(*plain))
+    return counted.withColumn("ok", ok).withColumn("output", output)
+
+
+def checked(calls: DataFrame, problem: Column, ok: Column, output: Column) -> DataFrame:
+    """The policy's refusal first, then the problem if there is one, then what the tool found."""
+    fine = F.col("may.allowed") & problem.isNull()
+    shown = F.when(~F.col("may.allowed"), F.col("may.message")).when(problem.isNotNull(), problem).otherwise(output)
+    return calls.withColumn("shown", shown).withColumn("fine", fine & F.coalesce(ok, F.lit(False))).withColumns({"ok": F.col("fine"), "output": F.col("shown")})
+
+
+def read_answers(calls: DataFrame, captured: Captured) -> DataFrame:
+    """Takes calls with path, may and is_dir (null for a path nobody told of)."""
+    held = calls.withColumn("content", F.lit(None).cast("binary"))
+    if captured.files is not None:
+        held = calls.join(latest(captured.files, ["path"], ["content"]), "path", "left")
+    problem = F.when(F.col("is_dir").isNull(), F.concat(F.lit("File does not exist: "), F.col("path"))).when(F.col("is_dir"), F.concat(F.lit("Path is not a file: "), F.col("path")))
+    problem = problem.when(F.col("content").isNull(), F.lit(commands.NOT_CAPTURED))
+    return checked(files.read_texts(held, argument("max_chars", "int", 20000)), problem, F.col("ok"), F.col("output"))
+
+
+def list_answers(calls: DataFrame, captured: Captured) -> DataFrame:
+    """Takes calls with path, may and is_dir; a directory without entries is empty."""
+    listed = calls.withColumn("output", F.lit(None).cast("string"))
+    if captured.entries is not None:
+        entries = captured.entries.select("directory", "name", "is_dir").distinct()
+        texts = files.listing_texts(entries, entries.select("directory").distinct())
+        listed = calls.join(texts.withColumnRenamed("directory", "path"), "path", "left")
+    problem = F.when(F.col("is_dir").isNull(), F.concat(F.lit("Path does not exist: "), F.col("path"))).when(~F.col("is_dir"), F.concat(F.lit("Path is not a directory: "), F.col("path")))
+    return checked(listed, problem, F.lit(True), F.coalesce("output", F.lit("(empty directory)")))
+
+
 def task_answers(calls: DataFrame) -> list[DataFrame]:
     """Task calls are a command log; its answers are joined to the calls by seq."""
     op = F.element_at(F.create_map(*[F.lit(x) for pair in (("create_task_queue", "create"), ("update_task_step", "update"), ("get_task_queue", "get"), ("list_task_queues", "list")) for x in pair]), F.col("tool"))

@@ -16,13 +16,16 @@ def truthy(value: str | None, default: bool = True) -> bool:
 
 @dataclass(frozen=True)
 class Policy:
-    """Feature switches and the workspace root. Approval that is switched off denies whatever would need it."""
+    """Feature switches, the workspace root, and what relative paths and ~ stand for (the root, if there is no cwd).
+    Approval that is switched off denies whatever would need it."""
 
     root: str = "/"
     approval_enabled: bool = True
     shell_enabled: bool = True
     search_enabled: bool = True
     browser_enabled: bool = True
+    cwd: str | None = None
+    home: str = "/root"
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> Policy:
@@ -33,4 +36,6 @@ class Policy:
             shell_enabled=truthy(env.get("AGENT_ENABLE_SHELL_COMMANDS")),
             search_enabled=truthy(env.get("AGENT_ENABLE_WEB_SEARCH")),
             browser_enabled=truthy(env.get("AGENT_ENABLE_BROWSER_TOOLS")),
+            cwd=os.getcwd(),
+            home=os.path.expanduser("~"),
         )

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkit.functions import arithmetic, strings
 from loomkit.functions.html import decode_body, unwrap_redirect
 from loomkit.operators import commands, files, messages, pages, search, settings, tasks
+from loomkit.plans import sql
 from loomkit.plans.dispatch import Captured, run_tool_calls
 from loomkit.policy import Policy
-from loomkit.streaming.tasks import queue_answers, run_to_end
+from loomkit.schemas import TOOL_CALL
+from loomkit.sources.files import directory_entries, whole_files, write_text
+from loomkit.streaming.tasks import queue_answers, run_to_end, working_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +104,31 @@ def page_decode(spark, sf_dir):
     return pages_.select("page_id", text(F.encode("html", "UTF-8"), "text/html").alias("utf8"), text(body("ISO-8859-1"), 'text/html; charset="latin-1"').alias("latin"))
 
 
+@query("""SELECT page_id, 'Browser tools are disabled by AGENT_ENABLE_BROWSER_TOOLS.' AS off, 'Fetched non-HTML content from ' || url || '. Content-Type: application/PDF' AS other,
+'Browser open error: Only http and https URLs are supported.' AS scheme, 'Browser link extraction error: timed out' AS failed FROM pages""")
+def page_refusals(spark, sf_dir):
+    """What switched-off tools, other content, other schemes and failed fetches answer."""
+    stored = table(spark, sf_dir, "pages")
+    shown = lambda df, name, **options: df.select("page_id", F.col("output").alias(name))
+    off = shown(pages.opened_pages(stored, policy=Policy(browser_enabled=False)), "off")
+    other = shown(pages.opened_pages(stored.withColumn("content_type", F.lit("application/PDF"))), "other")
+    scheme = shown(pages.opened_pages(stored.withColumn("url", F.lit("ftp://h.org/"))), "scheme")
+    failed = shown(pages.listed_links(stored.withColumn("fetch_error", F.lit("timed out"))), "failed")
+    return off.join(other, "page_id").join(scheme, "page_id").join(failed, "page_id")
+
+
+@query(f"WITH {PAGE_SQL} SELECT page_id, CASE WHEN title = '' THEN NULL ELSE title END AS title, (SELECT count(*) FROM links WHERE links.page_id = texts.page_id)::BIGINT AS n_links, (page_id * 2)::VARCHAR AS doubled FROM texts")
+def sql_functions(spark, sf_dir):
+    """The scalar and table functions, called in SQL."""
+    sql.register(spark)
+    stored = table(spark, sf_dir, "pages")
+    return spark.sql(
+        """WITH l AS (SELECT p.page_id, count(*) AS n FROM {stored} AS p, LATERAL page_links(p.url, p.html) AS k GROUP BY p.page_id)
+        SELECT p.page_id, nullif(parse_page(p.url, p.html).title, '') AS title, coalesce(l.n, 0L) AS n_links, calculate(concat(p.page_id, ' * 2')).value AS doubled FROM {stored} AS p LEFT JOIN l ON p.page_id = l.page_id""",
+        stored=stored,
+    )
+
+
 # Search results
 
 WRAPPED = "concat('https://duckduckgo.com/l/?uddg=', url_encode(url_encode(url)))"
@@ -120,9 +150,9 @@ def search_redirect_unwrap(spark, sf_dir):
     return made.select("page_id", unwrap_redirect(F.col("href")).alias("target"))
 
 
-@query("SELECT doc_id, 'https://lite.duckduckgo.com/lite/?q=' || replace(url_encode(left(text, 80) || ' ~*'), '%20', '+') AS url FROM documents")
+@query("SELECT doc_id, 'https://lite.duckduckgo.com/lite/?q=' || replace(url_encode(text || ' ~*'), '%20', '+') AS url FROM documents")
 def search_urls(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", search.search_url(F.concat(F.left("text", F.lit(80)), F.lit(" ~*"))).alias("url"))
+    return table(spark, sf_dir, "documents").select("doc_id", search.search_url(F.concat("text", F.lit(" ~*"))).alias("url"))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Web search error: search provider returned an anti-bot challenge.' WHEN page_id % 3 = 1 THEN 'No web search results found.'
@@ -222,6 +252,34 @@ def task_queue_list(spark, sf_dir):
     return tasks.queue_progress(task_log(spark, sf_dir)).select("queue_id", "output")
 
 
+ANSWERS_SQL = """
+q AS (SELECT DISTINCT conv_id, 'q' || conv_id AS id FROM conversations),
+head AS (SELECT *, 'Queue ' || id || ': T' || conv_id || chr(10) || 'Created: 2023-11-14T22:13:20+00:00' || chr(10) AS h FROM q)
+SELECT conv_id * 100 + 5 AS seq, true AS ok, h || '1. [pending] one' || chr(10) || '2. [pending] two' AS output FROM head UNION ALL
+SELECT conv_id * 100 + 1, true, h || '1. [pending] one' || chr(10) || '2. [pending] two' FROM head UNION ALL
+SELECT conv_id * 100 + 10, true, h || '1. [pending] one' || chr(10) || '2. [completed] two | note: n' FROM head UNION ALL
+SELECT conv_id * 100 + 20, true, h || '1. [pending] one' || chr(10) || '2. [completed] two | note: n' FROM head UNION ALL
+SELECT conv_id * 100 + 30, true, h || '1. [pending] one' || chr(10) || '2. [blocked] two' FROM head UNION ALL
+SELECT -conv_id * 100 - 5, false, 'Task queue not found: ' || id FROM head UNION ALL
+SELECT -1000000000, true, 'No task queues exist in this process.' UNION ALL
+SELECT 2050, true, string_agg(id || ': T' || conv_id || ' (' || CASE WHEN conv_id < 20 THEN 0 ELSE 1 END || '/2 completed)', chr(10) ORDER BY conv_id) FROM head WHERE conv_id <= 20
+"""
+
+
+@query(f"WITH {ANSWERS_SQL}")
+def task_answers(spark, sf_dir):
+    """What each command is answered when it is its turn: queues asked for before, between and after changes, and lists."""
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    command = lambda seq, op, index=None, status=None, note=None: ids.select(
+        F.expr(seq).cast("long").alias("seq"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), F.lit(op).alias("op"), F.concat(F.lit("q"), F.col("conv_id")).alias("queue_id"),
+        F.concat(F.lit("T"), F.col("conv_id")).alias("title"), F.array(F.lit("one"), F.lit(" two")).alias("steps"), F.lit(index).cast("int").alias("step_index"), F.lit(status).cast("string").alias("status"), F.lit(note).cast("string").alias("note"),
+    )
+    log = command("conv_id * 100 + 1", "create").unionByName(command("conv_id * 100 + 5", "get")).unionByName(command("conv_id * 100 + 10", "update", 2, "Completed", " n "))
+    log = log.unionByName(command("conv_id * 100 + 20", "get")).unionByName(command("conv_id * 100 + 30", "update", 2, "blocked")).unionByName(command("-conv_id * 100 - 5", "get"))
+    lists = rows(spark, "(-1000000000L, 'list'), (2015L + 35L, 'list')", "seq, op")
+    return tasks.command_outputs(log.unionByName(lists, allowMissingColumns=True)).select("seq", "ok", "output")
+
+
 @query("SELECT o_orderkey, count(*) FILTER (l_linestatus = 'F') AS completed, count(l_orderkey) AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def task_progress(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linestatus") == "F", "completed").otherwise("pending").alias("status"))
@@ -263,11 +321,27 @@ def doc_collapse_ws(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.collapse_space(text).alias("collapsed"), strings.squeeze_newlines(F.translate(text, ".", "\n")).alias("squeezed"))
 
 
-@query("SELECT n::BIGINT AS position, name FROM (VALUES (1, 'a/'), (2, 'B/'), (3, 'Alpha.txt'), (4, 'beta.txt'), (5, 'Gamma.txt')) AS t(n, name)")
+TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@query(f"SELECT n::BIGINT AS position, name || '.parquet' AS name FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(TABLES, start=1))}) AS t(n, name)")
 def dir_listing(spark, sf_dir):
-    entries = rows(spark, "('d', 'beta.txt', false), ('d', 'a', true), ('d', 'Gamma.txt', false), ('d', 'B', true), ('d', 'Alpha.txt', false)", "directory, name, is_dir")
-    ranked = entries.withColumn("position", F.row_number().over(tasks.Window.partitionBy("directory").orderBy(~F.col("is_dir"), F.lower("name"), "name")).cast("long"))
-    return ranked.select("position", files.entry_name().alias("name"))
+    """The files of the data directory, through the directory source and the tool's listing."""
+    entries = directory_entries(spark, sf_dir).select("directory", "name", F.lit(False).alias("is_dir"))
+    texts = files.listing_texts(entries, entries.select("directory").distinct())
+    return texts.select(F.posexplode(F.split("output", "\n")).alias("at", "name")).select((F.col("at") + 1).cast("long").alias("position"), "name")
+
+
+@query("""SELECT n_name AS line, 2::BIGINT AS times, (SELECT sum(length(n_name) + 1) * 2 FROM nation)::BIGINT AS bytes FROM nation""")
+def file_round_trip(spark, sf_dir):
+    """Lines written, appended, and read back as lines and as whole files."""
+    folder = f"{working_folder(spark, 'text')}/lines"
+    names = table(spark, sf_dir, "nation").select("n_name")
+    for mode in ("overwrite", "append"):
+        write_text(names, folder, mode)
+    held = whole_files(spark, f"{folder}/part-*").select(files.decoded_text(F.col("content")).alias("text"), F.length("content").alias("n"))
+    lines = held.select(F.explode(strings.split_lines(F.col("text"))).alias("line")).groupBy("line").agg(F.count("*").alias("times"))
+    return lines.crossJoin(F.broadcast(held.agg(F.sum("n").alias("bytes"))))
 
 
 @query("SELECT n::BIGINT AS n, output FROM (VALUES (1, 'abc'), (2, 'Could not decode as UTF-8 text file: /f'), (3, 'a' || chr(10) || 'b' || chr(10) || 'c'), (4, 'abcd' || chr(10) || chr(10) || '[truncated after 4 characters]')) AS t(n, output)")
@@ -348,6 +422,15 @@ def chat_replies(spark, sf_dir):
     return messages.streamed_replies(made)
 
 
+@query("SELECT conv_id, turn AS seq, text FROM conversations WHERE role = 'assistant' AND text <> ''")
+def chat_stream(spark, sf_dir):
+    """As a stream: the chunks a reader sees."""
+    talk = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parquet*")
+    kind = F.when(F.col("role") == "assistant", "AIMessageChunk").otherwise("HumanMessage").alias("type")
+    chunks = talk.select("conv_id", F.col("turn").alias("seq"), F.lit("messages").alias("mode"), kind, F.to_json(F.array(F.struct("text"))).alias("content"))
+    return run_to_end(messages.printed_chunks(chunks), spark)
+
+
 # Settings
 
 ROUTES = "(1, 'openai', NULL), (2, 'google', ''), (3, 'anthropic', NULL), (4, 'openai-compatible', NULL), (5, 'openai-compatible', 'http://h'), (6, 'dashscope', NULL), (7, 'bailian', 'http://b'), (8, 'aliyun', ''), (9, 'other', NULL)"
@@ -368,6 +451,18 @@ def settings_resolve(spark, sf_dir):
     return s.select("profile", "model_provider", "model_temperature", "google_model", F.col("openai_compatible_api_key").alias("api_key"), F.col("agent_enable_shell_commands").alias("shell"), F.col("agent_enable_web_search").alias("search"))
 
 
+@query("""SELECT * FROM (VALUES ('a', 'google', 'g1'), ('b', 'openai', 'gpt-4o-mini'), ('c', 'openai-compatible', 'qwen-plus'), ('d', NULL, NULL), ('e', 'anthropic', 'claude-3-5-haiku-latest')) AS t(profile, client, model)""")
+def settings_routed(spark, sf_dir):
+    kv = rows(spark, "('a', 'MODEL_PROVIDER', 'google'), ('a', 'GOOGLE_MODEL', 'g1'), ('b', 'GOOGLE_MODEL', 'x'), ('c', 'MODEL_PROVIDER', ' BAILIAN'), ('d', 'MODEL_PROVIDER', 'other'), ('e', 'MODEL_PROVIDER', 'anthropic')", "profile, key, value")
+    return settings.routed(settings.settings_from_rows(kv)).select("profile", "client", "model")
+
+
+@query("SELECT 'env' AS profile, 'aliyun' AS model_provider, 'k' AS openai_compatible_api_key, 'https://dashscope.aliyuncs.com/compatible-mode/v1' AS base_url, false AS agent_enable_browser_tools")
+def settings_environment(spark, sf_dir):
+    env = {"MODEL_PROVIDER": "Aliyun ", "DASHSCOPE_API_KEY": "k", "AGENT_ENABLE_BROWSER_TOOLS": "0"}
+    return settings.routed(settings.settings_from_env(spark, env)).select("profile", "model_provider", "openai_compatible_api_key", "base_url", "agent_enable_browser_tools")
+
+
 FLAGS = "(1, 'TRUE'), (2, ' yes '), (3, 'on'), (4, '1'), (5, '0'), (6, ''), (7, 'y'), (8, NULL)"
 
 
@@ -402,3 +497,81 @@ def tool_dispatch(spark, sf_dir):
         .withColumn("seq", F.col("call_id"))
     )
     return run_tool_calls(calls, Captured(pages=stored)).select("call_id", "tool", "ok", "output")
+
+
+# Calls of all tools, answered well and badly: (call, tool, arguments, ok, answer).
+CALLS = [
+    ("calculator", {"expression": "2**3"}, True, "8"),
+    ("calculator", {"expression": "1/0"}, False, "Calculation error: division by zero"),
+    ("calculator", None, False, "Calculation error: no expression"),
+    ("configured_provider", {}, True, "p"),
+    ("list_local_directory", {}, True, "sub/\nf"),
+    ("list_local_directory", {"path": "sub/."}, True, "(empty directory)"),
+    ("list_local_directory", {"path": "f"}, False, "Path is not a directory: /w/f"),
+    ("list_local_directory", {"path": "gone"}, False, "Path does not exist: /w/gone"),
+    ("list_local_directory", {"path": ".."}, False, "Read denied: path is outside AGENT_WORKSPACE_ROOT=/w"),
+    ("read_local_file", {"path": "f", "max_chars": 2}, True, "ab\n\n[truncated after 2 characters]"),
+    ("read_local_file", {"path": "/w//sub/../f"}, True, "abc"),
+    ("read_local_file", {"path": "/w/../etc/passwd"}, False, "Read denied: path is outside AGENT_WORKSPACE_ROOT=/w"),
+    ("read_local_file", {"path": "/w/../etc/passwd", "answer": " Yes"}, True, "secret"),
+    ("read_local_file", {"path": "sub"}, False, "Path is not a file: /w/sub"),
+    ("read_local_file", {"path": "~/x"}, False, "Read denied: path is outside AGENT_WORKSPACE_ROOT=/w"),
+    ("read_local_file", {"path": "gone"}, False, "File does not exist: /w/gone"),
+    ("read_local_file", {"path": "bytes"}, False, "Could not decode as UTF-8 text file: /w/bytes"),
+    ("write_local_file", {"path": "sub/../g", "content": "hey", "answer": "yes"}, True, "Wrote 3 characters to /w/g with mode=overwrite."),
+    ("write_local_file", {"path": "g", "content": "hey"}, False, "Write denied: write operations require explicit human approval"),
+    ("write_local_file", {"path": "../g", "content": "hey"}, False, "Write denied: path is outside AGENT_WORKSPACE_ROOT=/w and write operations require approval"),
+    ("write_local_file", {"path": "g", "content": "hey", "mode": "add"}, False, "Invalid mode. Use overwrite or append."),
+    ("execute_shell_command", {"command": "ls"}, True, "exit_code: 0\nstdout:\nf"),
+    ("execute_shell_command", {"command": "rm", "cwd": "sub/.."}, False, "Shell command denied: shell commands require explicit human approval"),
+    ("execute_shell_command", {"command": "ls", "cwd": "/o/../o"}, False, "Shell command denied: cwd is outside AGENT_WORKSPACE_ROOT=/w and shell commands require approval"),
+    ("execute_shell_command", {"command": "cat"}, False, "Not captured."),
+    ("execute_shell_command", {"command": "sleep", "timeout_seconds": 0}, False, "Command timed out after 1 seconds."),
+    ("execute_shell_command", {"command": "ls", "cwd": "gone"}, False, "Working directory does not exist: /w/gone"),
+    ("web_search", {"query": "q"}, True, "Search results for: q\n1. E\n   https://e.org"),
+    ("web_search", {"query": "robot"}, False, "Web search error: search provider returned an anti-bot challenge."),
+    ("web_search", {"query": "none"}, True, "No web search results found."),
+    ("web_search", {"query": "unknown"}, False, "Web search error: Not captured."),
+    ("open_web_page", {"url": "https://h.org"}, True, "URL: https://h.org\nTitle: New\n\nX"),
+    ("open_web_page", {"url": "https://pdf.org"}, False, "Fetched non-HTML content from https://pdf.org. Content-Type: application/pdf"),
+    ("open_web_page", {"url": "ftp://h.org"}, False, "Browser open error: Only http and https URLs are supported."),
+    ("open_web_page", {}, False, "Browser open error: Only http and https URLs are supported."),
+    ("list_web_page_links", {"url": "https://h.org"}, True, "Links found on https://h.org:\n1. X\n   https://h.org/x"),
+    ("list_web_page_links", {"url": "https://gone.org"}, False, "Browser link extraction error: Not captured."),
+    ("list_task_queues", {}, True, "No task queues exist in this process."),
+    ("create_task_queue", {"title": "t", "steps": ["s", " "], "queue_id": "k"}, True, "Queue k: t\nCreated: 2023-11-14T22:13:20+00:00\n1. [pending] s"),
+    ("update_task_step", {"queue_id": "k", "step_index": 1, "status": "completed"}, True, "Queue k: t\nCreated: 2023-11-14T22:13:20+00:00\n1. [completed] s"),
+    ("update_task_step", {"queue_id": "k", "step_index": 2, "status": "completed"}, False, "Invalid step_index. Use a value from 1 to 1."),
+    ("get_task_queue", {"queue_id": "k"}, True, "Queue k: t\nCreated: 2023-11-14T22:13:20+00:00\n1. [completed] s"),
+    ("get_task_queue", {"queue_id": "other"}, False, "Task queue not found: other"),
+    ("list_task_queues", {}, True, "k: t (1/1 completed)"),
+    ("nothing", {}, False, "Unknown tool: nothing"),
+    (None, {}, False, "Unknown tool: None"),
+    ("current_time", {}, True, "now"),
+]
+
+
+def quoted(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query(f"SELECT id::BIGINT AS call_id, tool, ok, replace(output, '~', chr(10)) AS output FROM (VALUES {', '.join(f'({i}, {quoted(t)}, {str(ok).lower()}, {quoted(o.replace(chr(10), chr(126)))})' for i, (t, _, ok, o) in enumerate(CALLS))}) AS t(id, tool, ok, output)")
+def tool_calls(spark, sf_dir):
+    """Each of the tools, with its successes and refusals."""
+    made = [(i, i, t, None if a is None else json.dumps(a)) for i, (t, a, _, _) in enumerate(CALLS)]
+    calls = spark.createDataFrame(made, TOOL_CALL).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    frame = spark.createDataFrame
+    kept = Captured(
+        pages=frame([("https://h.org", "<title>Old</title>", "text/html", 1), ("https://h.org", "<title>New</title><a href='/x'>X</a>", "text/html", 2), ("https://pdf.org", "%PDF", "application/pdf", 1), ("ftp://h.org", "x", "", 1)], "url string, html string, content_type string, captured_at long"),
+        results=frame([("q", "<a class='result-link' href='https://e.org'>E</a>"), ("robot", "<form id='challenge-form'>"), ("none", "<p>")], "query string, html string"),
+        files=frame([("/w/f", b"abc"), ("/w/bytes", b"\xff"), ("/etc/passwd", b"secret")], "path string, content binary"),
+        entries=frame([("/w", "f", False), ("/w", "sub", True)], "directory string, name string, is_dir boolean"),
+        directories=frame([("/w/sub",)], "path string"),
+        commands=frame(
+            [("ls", "/w", True, True, 0, "f", "", False, "yes"), ("rm", "/w", True, True, None, None, None, None, "no"), ("ls", "/o", True, True, 0, "", "", False, None), ("sleep", "/w", True, True, None, None, None, True, "yes"), ("ls", "/w/gone", False, False, None, None, None, None, "yes")],
+            "command string, cwd string, cwd_exists boolean, cwd_is_dir boolean, exit_code int, stdout string, stderr string, timed_out boolean, answer string",
+        ),
+    )
+    out = run_tool_calls(calls, kept, Policy(root="/w"), provider="p")
+    now = F.regexp_like("output", F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$"))
+    return out.select("call_id", "tool", "ok", F.when((F.col("tool") == "current_time") & now, "now").otherwise(F.col("output")).alias("output"))

@@ -82,10 +82,28 @@ def run_to_end(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """Runs a stream over what its source holds now and returns the rows it appended.
 
     Rows and state are written to the folder that spark.checkpoint.dir names; only where none is named, as in tests,
-    to a temporary one.
+    to a temporary one, which a cluster's executors wouldn't share, so there it is refused. Keyed state needs the
+    RocksDB store: the session's own setting is put back once the stream has started.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='loomkit-stream-')}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    folder = working_folder(spark, "stream")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = started(stream, folder)
+    finally:
+        spark.conf.set(store, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def working_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder in the one that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise RuntimeError("Name a shared folder in spark.checkpoint.dir.")
+    return f"{named or tempfile.mkdtemp(prefix='loomkit-')}/{kind}-{uuid.uuid4().hex}"
+
+
+def started(stream: DataFrame, folder: str):
+    return stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

@@ -30,9 +30,9 @@ def test_strings(spark):
 
 
 def test_paths(spark):
-    norm = lambda p: paths.normalised(p, "/home/u", "/w")
-    assert [norm(p) for p in ("a/../b", "~/x", "/a//b/.", "../..", "//x")] == ["/w/b", "/home/u/x", "/a/b", "/", "/x"]
-    assert one(spark, paths.normalise(F.col("p"), "/w"), p="a/./b") == "/w/a/b"
+    norm = lambda p: one(spark, paths.normalise(F.col("p"), "/w", "/home/u"), p=p)
+    assert [norm(p) for p in ("a/../b", "~/x", "~", "/a//b/.", "../..", "//x", "", "a/./b", "~x", "...")] == ["/w/b", "/home/u/x", "/home/u", "/a/b", "/", "/x", "/w", "/w/a/b", "/w/~x", "/w/..."]
+    assert [one(spark, paths.inside(F.lit(p), F.lit("/a"))) for p in ("/a/../b", "/a/b", "/a/.", "a", "/a/..b", "/a/..")] == [False, True, False, False, True, False]
     assert one(spark, paths.inside(F.lit("/a/bc"), F.lit("/a/b"))) is False
 
 
@@ -101,6 +101,12 @@ def test_policy():
     assert (p.shell_enabled, p.search_enabled, p.browser_enabled) == (False, True, True)
 
 
+def test_long_runs_of_spaces(spark):
+    t = " " * 500_000 + "a" + " " * 500_000 + "b" + "\u2003" * 500_000
+    assert one(spark, strings.py_strip(F.col("t")), t=t) == t.strip()
+    assert one(spark, strings.collapse_space(F.col("t")), t=t) == "a b"
+
+
 def test_commands_off(spark):
     df = spark.createDataFrame([("c",)], "command string")
     assert commands.command_outputs(df, Policy(shell_enabled=False)).first().output == commands.SHELL_OFF
