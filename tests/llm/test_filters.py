@@ -197,10 +197,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section class="comments"><p>Nice!</p></section><div class="share">Share</div><p>Last</article><footer>&copy;</footer>"""
 
 
-def test_page():
-    leaves, owner, texts = html_wrappers.skeleton(PAGE)
-    read = html_wrappers.leaves_to_read(leaves, [False] * len(leaves), 1)
-    assert [t for t, o in zip(texts, owner, strict=True) if read[o]] == ["Head line & more", "First part.", "Second <p> é.", "one", "two", "Last"]
+def test_page(spark):
+    df = spark.createDataFrame([(1, "http://h.org", PAGE)], "page_id long, url string, html string")
+    assert html_wrappers.extract_text(df).first().text == "Head line & more\nFirst part.\nSecond <p> é.\none\ntwo\nLast"
 
 
 def test_fold():
@@ -210,9 +209,22 @@ def test_fold():
 
 
 def test_alignment():
-    item = lambda leaf, fixed, pages=1: {"leaf": leaf, "pages": pages, "fixed": fixed}
-    wrapper, at = html_wrappers.align([(1, [item(".a", 7, 2), item(".c", 8, 2)]), (2, [item(".a", 7), item(".b", 9), item(".c", 5)])])
-    assert html_wrappers.shown(wrapper, 3) == "(a) (b)? (c #TEXT)" and at == {1: [0, 2], 2: [0, 1, 2]}
+    item = lambda leaf, fixed, pages=1, least=1, most=1: {"leaf": leaf, "pages": pages, "fixed": fixed, "least": least, "most": most}
+    (wrapper, at), = html_wrappers.align([(1, [item(".a", 7, 2), item(".c", 8, 2)]), (2, [item(".a", 7), item(".b", 9), item(".c", 5, 1, 2, 2)])])
+    assert html_wrappers.shown(wrapper, 3) == "(a) (b)? (c #TEXT)+" and at == {1: [0, 2], 2: [0, 1, 2]}
+    assert len(html_wrappers.align([(1, [item(".a", 7)]), (2, [item(".b", 7)])], most_items=1)) == 2
+
+
+def test_longest_common():
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(0, 12))] for _ in "ab")
+        pairs = html_wrappers.longest_common(a, b)
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        assert len(pairs) == table[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(x < y and u < v for (x, u), (y, v) in itertools.pairwise(pairs))
 
 
 @pytest.mark.parametrize("group", [500, 2])
