@@ -5,7 +5,7 @@ level is judged first, on few windows: the winnowed ones, one leader (the smalle
 next length, which equal windows share. Windows that are repeated at one length alone are
 extended to twice that length, up to `length`; a text without survivors asks for nothing at the next level.
 
-Texts are dealt into chunks by a hash of doc_id and hashes into buckets by their value. A chunk sends each
+Texts are dealt into chunks by a hash of doc_id and text, so that no id is a chunk by itself, and hashes into buckets by their value. A chunk sends each
 distinct hash once, packed, to its bucket, however often the chunk holds it, so a passage that many documents
 share costs a bucket one entry for each chunk. The bucket answers with one bit for each entry. All levels
 read the same exchange of the texts.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from loomkit.llm.common import WordHashes, pieces, total_bytes, window_hashes
 
 SHORTEST = 8  # words of the first level at most
+CHUNKS_A_BUCKET = 4  # a bucket holds as many hashes as so many chunks send, so that what a chunk packs for it is worth a row
 SECOND_BASE = 0xD6E8FEB86659FD93
 REQUEST = "level int, bucket long, chunk long, hashes binary, more binary, docs binary, alone binary"
 REPLY = "level int, bucket long, chunk long, bits binary"
@@ -206,20 +207,21 @@ def dedup_substrings(docs: DataFrame, length: int = 13, chunk_bytes: int = 8 <<
     Windows are judged on the input. Null, empty and blank texts have no words and lose none; so do texts shorter
     than a window. Rows that share a doc_id count as one document, so they never remove each other's words. A null
     doc_id ranks after all others (with the largest long); such rows don't remove from each other. An empty table
-    gives an empty table. A chunk holds about `chunk_bytes` of text, or one text if that is longer; memory per task
-    follows that.
+    gives an empty table. Very long texts are read whole. A chunk holds about `chunk_bytes` of text, or one text if
+    that is longer (copies of a row, which share id and text, are one chunk's); memory per task follows that.
     """
     lengths = level_lengths(length)
     n = pieces(total_bytes(docs, "text"), chunk_bytes)
-    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"))
+    buckets = pieces(n, CHUNKS_A_BUCKET)
+    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"))
     by_chunk = texts.groupBy("chunk")
     cache = WordHashes()
     replies = None
 
     def asking(level: int):
         if level == 0:
-            return lambda key, table: requests(key[0].as_py(), Chunk(table, cache), lengths, 0, {}, n)
-        return lambda key, table, heard: requests(key[0].as_py(), Chunk(table, cache), lengths, level, collected(heard), n)
+            return lambda key, table: requests(key[0].as_py(), Chunk(table, cache), lengths, 0, {}, buckets)
+        return lambda key, table, heard: requests(key[0].as_py(), Chunk(table, cache), lengths, level, collected(heard), buckets)
 
     for level in range(len(lengths)):
         groups = by_chunk if level == 0 else by_chunk.cogroup(replies.groupBy("chunk"))
@@ -227,6 +229,6 @@ def dedup_substrings(docs: DataFrame, length: int = 13, chunk_bytes: int = 8 <<
         replies = answers if level == 0 else replies.unionByName(answers)
 
     def last(key, table, heard):
-        return kept(Chunk(table, cache), lengths, collected(heard), n)
+        return kept(Chunk(table, cache), lengths, collected(heard), buckets)
 
     return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(last, RESULT)
