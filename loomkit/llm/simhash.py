@@ -20,10 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomkit.llm.common import cut
+from loomkit.llm.common import cut, pieces
 
 BITS, HALF, DISTANCE, SHINGLE = 64, 32, 3, 3
 BLOCK = 2048  # fingerprints of a half in one block
+SPREAD_ROWS = 20_000  # halves whose variants one task makes
 
 
 def fingerprint(text: str | None) -> int:
@@ -101,8 +102,8 @@ def links_between(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = halves.groupBy("half", "value").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     sizes = sizes.withColumn("m", F.ceil(F.col("n") / block).cast("int"))
 
-    # 32 variants come of each row, so these few rows are dealt out again before.
-    spread = sizes.select("half", "value").repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "half", "value")
+    # 32 variants come of each row, so these rows are dealt out by number before, which no later step merges again.
+    spread = sizes.select("half", "value").repartition(pieces(2 * fingerprints.count(), SPREAD_ROWS))
     variants = spread.selectExpr("half", "value", "explode(transform(sequence(0, 31), i -> (value & ~shiftleft(1L, i)) * 64 + i * 2 + half)) AS key")
     one_off = variants.groupBy("key").agg(F.min("value").alias("v0"), F.max("value").alias("v1")).filter("v0 <> v1")
     one_off = one_off.selectExpr("cast(key & 1 AS int) AS half", "v0", "v1")
