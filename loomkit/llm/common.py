@@ -94,12 +94,39 @@ def cut(df: DataFrame) -> DataFrame:
 SMALL_BYTES = 8 << 20  # a side of a join of so many bytes at most is sent to every task
 
 
+def is_small(df: DataFrame, most_bytes: int | None = None) -> bool:
+    """Whether a frame's rows take at most `most_bytes`, summed where the rows are."""
+    total = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return total <= (SMALL_BYTES if most_bytes is None else most_bytes)
+
+
 def broadcast_if_small(df: DataFrame, most_bytes: int | None = None) -> DataFrame:
     """Marks a frame for broadcast only if its rows take at most `most_bytes` as they are; otherwise Spark shuffles for
-    the join. Sizes are summed where the rows are; a frame that is costly to compute should be cut before."""
-    sized = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")) if df.columns else df
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    return F.broadcast(df) if total <= (SMALL_BYTES if most_bytes is None else most_bytes) else df
+    the join. A frame that is costly to compute should be cut before."""
+    return F.broadcast(df) if is_small(df, most_bytes) else df
+
+
+HEAVY, SALTS = 500, 32  # rows of a key that is joined apart from the others; parts such a key is cut into
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of `rows` with `counted`, which has one row for each key and says in column n how many rows share it.
+
+    Keys of more than HEAVY rows are joined without bringing their rows together: they are sent to the rows if their
+    size allows it, else both sides are cut into SALTS parts. All other keys go by a plain join. Both frames are read
+    more than once, so they should be cut before.
+    """
+    heavy = counted.filter(F.col("n") > HEAVY).drop("n")
+    light = counted.filter(F.col("n") <= HEAVY).drop("n")
+    if heavy.isEmpty():
+        return rows.join(light, on)
+    if is_small(heavy):
+        known = F.broadcast(heavy.select(*on))
+        return rows.join(F.broadcast(heavy), on).unionByName(rows.join(known, on, "left_anti").join(light, on))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    parts = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    others = salted.join(parts.select(*on, "salt"), [*on, "salt"], "left_anti").drop("salt")
+    return salted.join(parts, [*on, "salt"]).drop("salt").unionByName(others.join(light, on))
 
 
 def total_bytes(df: DataFrame, column: str) -> int:
