@@ -5,8 +5,9 @@ each path follows the one it shares most with; a path emits only the turns that
 tree in depth-first order with each shared token once. A path's position ids go on from its prefix, and its attention
 reaches its own tokens so far and the intervals of its ancestors.
 
-Large trees are cut into shards by the second turn's digest, and a shard into packs of bounded length; a new pack
-starts with the whole path again, so every pack can be attended to by itself.
+Small trees are kept whole. Large ones are cut where the sorted paths of the whole table fall into ranges of about equal
+size, whatever turns they share, and ranges into packs of bounded length; a new pack starts with the whole path again,
+so every pack can be attended to by itself.
 
 A turn is written `### role: text</turn>` and a line feed. In texts and roles a backslash is doubled, and one is put
 inside `</turn>`, after each # that another follows and, in roles, before a colon, so neither mark can be forged and
@@ -34,7 +35,8 @@ LEARNED = "assistant"
 # Fixed value: how the public byte-level vocabularies cut a text before their merges.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-SHARD_PATHS = 256
+SHARD_PATHS = 256  # paths of a tree that is never cut
+RANGE_BYTES = 16 * 64  # of a path that ranges go by: its first 64 turns
 PACK_TOKENS = 1 << 16
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -104,20 +106,18 @@ def paths(conversations: DataFrame) -> DataFrame:
     return whole.withColumn("path", path("turns")).withColumn("path_id", F.md5("path"))
 
 
-def packed(shards: DataFrame, tokenizer_path: str | None, pack_tokens: int) -> DataFrame:
+def packed(ranged: DataFrame, tokenizer_path: str | None, pack_tokens: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        group, number, tokens, chars = None, 0, 0, 0
+        group, first, tokens, chars = None, "", 0, 0
         before: list[bytes] = []
         at: list[tuple[int, int, int, int]] = []
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in PACKS.names}
             for r in batch.to_pylist():
                 own = [r["path"][i : i + 16] for i in range(0, len(r["path"]), 16)]
-                if (key := (r["tree"], r["shard"])) != group:
-                    group, number, tokens, chars, before, at = key, 0, 0, 0, [], []
-                elif tokens >= pack_tokens:
-                    number, tokens, chars, before, at = number + 1, 0, 0, [], []
+                if r["tree"] != group or tokens >= pack_tokens:
+                    group, first, tokens, chars, before, at = r["tree"], r["path_id"], 0, 0, [], []
                 shared = 0
                 while shared < min(len(own), len(before)) and own[shared] == before[shared]:
                     shared += 1
@@ -134,13 +134,13 @@ def packed(shards: DataFrame, tokenizer_path: str | None, pack_tokens: int) -> D
                     text.append(written)
                     ids += new
                 before = own
-                values = (f"{group[0].hex()}-{group[1]}-{number}", r["path_id"], "".join(text), ids, start, position, joined([x[:2] for x in at[:shared]]), char_start, joined([x[2:] for x in at[:shared]]), loss)
+                values = (f"{group.hex()}-{first}", r["path_id"], "".join(text), ids, start, position, joined([x[:2] for x in at[:shared]]), char_start, joined([x[2:] for x in at[:shared]]), loss)
                 for name, value in zip(PACKS.names, values, strict=True):
                     rows[name].append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=PACKS)
 
-    by_path = shards.repartition("tree", "shard").sortWithinPartitions("tree", "shard", "path")
-    return by_path.select("tree", "shard", "path", "path_id", "turns").mapInArrow(pack, PACKS_SQL)
+    by_path = ranged.repartitionByRange("range").sortWithinPartitions("path")
+    return by_path.select("tree", "path", "path_id", "turns").mapInArrow(pack, PACKS_SQL)
 
 
 def format_conversations(conversations: DataFrame, tokenizer_path: str | None = None, pack_tokens: int = PACK_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -154,18 +154,18 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str | None =
     Tokens are those of the tokenizer file, encoded turn by turn, or code points. Other columns are left out. Null
     texts and roles are empty; turns are ordered by turn (null first), then role and text, so ties are settled and
     repeated rows are turns of their own. A null conv_id is one conversation. Equal conversations share a path. An
-    empty table gives empty tables. A conversation has to fit in a task's memory; a tree need not.
+    empty table gives empty tables. Very long texts are written whole; a conversation has to fit in a task's memory, a
+    tree need not. The tokenizer file has to be at the same path on every executor; a task that misses it fails.
     """
     whole = cut(paths(conversations))
     members = whole.select("conv_id", "path_id")
     distinct = whole.groupBy("path_id").agg(F.min(F.struct("path", "turns")).alias("p")).select("path_id", "p.path", "p.turns")
     distinct = distinct.withColumn("tree", F.substring("path", 1, 16))
     sizes = whole.select("path_id", F.substring("path", 1, 16).alias("tree")).distinct().groupBy("tree").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > SHARD_PATHS).select("tree", F.ceil(F.col("n") / SHARD_PATHS).alias("shards"))
-    second = F.conv(F.hex(F.substring("path", 17, 4)), 16, 10).cast("long")
-    shard = F.coalesce(F.floor(second * F.col("shards") / F.lit(1 << 32)), F.lit(0)).cast("long")
-    shards = distinct.join(broadcast_if_small(large), "tree", "left").withColumn("shard", shard)
-    return packed(shards, tokenizer_path, pack_tokens), members
+    large = cut(sizes.filter(F.col("n") > SHARD_PATHS).select("tree", F.lit(True).alias("large")))
+    by = F.when(F.col("large"), F.substring("path", 1, RANGE_BYTES)).otherwise(F.col("tree"))
+    ranged = distinct.join(broadcast_if_small(large), "tree", "left").withColumn("range", by)
+    return packed(ranged, tokenizer_path, pack_tokens), members
 
 
 READ = pa.schema([("path_id", pa.string()), ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), ("loss_text", pa.string()), ("formatted_chars", pa.int64())])
