@@ -116,8 +116,8 @@ def test_escapes():
 
 def brute_pipeline(rows, items):
     """The five stages over lists, by the brute-force versions of the operators' tests."""
-    from test_dedup import brute_components, fingerprints
     from test_filters import brute_matches, brute_verdicts
+    from test_near_copies import brute_groups
 
     good = brute_verdicts([(r["text"], r["lang"], r["source"]) for r in rows])
     rows = sorted((r for k, r in enumerate(rows) if good[k]), key=lambda r: r["doc_id"])
@@ -127,10 +127,14 @@ def brute_pipeline(rows, items):
         lines = list(filter(None, map(strip, r["text"].split("\n"))))
         for p in range(len(lines) - 1):
             first.setdefault((lines[p], lines[p + 1]), (r["doc_id"], p))
+        for p, line in enumerate(lines):
+            if len(line.encode().split()) >= 50:
+                first.setdefault(line, (r["doc_id"], p))
     left = []
     for r in rows:
         lines = list(filter(None, map(strip, r["text"].split("\n"))))
         gone = {q for p in range(len(lines) - 1) if first[lines[p], lines[p + 1]] < (r["doc_id"], p) for q in (p, p + 1)}
+        gone |= {p for p, line in enumerate(lines) if first.get(line, (r["doc_id"], p)) < (r["doc_id"], p)}
         if gone and len(gone) == len(lines):
             continue
         out, n = [], -1
@@ -139,7 +143,7 @@ def brute_pipeline(rows, items):
             if not strip(line) or n not in gone:
                 out.append(line)
         left.append(r | {"text": "\n".join(out)})
-    label = brute_components(fingerprints(r["text"] for r in left))
+    label = brute_groups([r["text"] for r in left])
     seen, kept = set(), []
     for r, x in zip(left, label, strict=True):
         if x not in seen:
@@ -177,7 +181,7 @@ def test_stages_on_hard_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for data in (rows, []):
-        docs = spark.createDataFrame(data, schema).selectExpr("*", "1 AS row", "2 AS q", "3 AS size")
+        docs = spark.createDataFrame(data, schema).selectExpr("*", "1 AS row", "2 AS q", "3 AS size", "4 AS n_lines", "5 AS `a.b`")
         columns = docs.columns
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, str(tmp_path))
