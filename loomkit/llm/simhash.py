@@ -5,9 +5,11 @@ each half is indexed under the 32 variants in which one bit is a wildcard: an eq
 halves at distance one (a variant holds two values at most, since only the wildcard is free), and equality of the
 half itself finds distance zero. The full fingerprints behind such halves are then verified.
 
-Only distinct fingerprints take part, so a group of copies costs one row. A half shared by very many fingerprints
-is cut into blocks; each pair of blocks is verified in its own unit and yields a spanning forest of its links,
-never all of its pairs. Components come from alternating star contractions.
+Only distinct fingerprints take part, so a group of copies costs one row. Where very many fingerprints share a half, the
+other half is indexed in the same way: at most 3 bits differ in it, so one of its quarters of 16 bits differs in at
+most one, and fingerprints meet under the quarters' one-wildcard variants. What is still a crowd there is cut into
+blocks, each pair of which is verified in its own unit. Units yield a spanning forest of their links, never all of
+their pairs. Components come from alternating star contractions.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomkit.llm.common import cut, pieces
+from loomkit.llm.common import cut, join_counted, pieces
 
 BITS, HALF, DISTANCE, SHINGLE = 64, 32, 3, 3
 BLOCK = 2048  # fingerprints of a half in one block
@@ -115,14 +117,33 @@ def links_between(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
 
     same = sizes.filter("n > 2").selectExpr("half", "value AS v0", "value AS v1", "m AS m0", "m AS m1")
     units = same.unionByName(one_off.filter(f"NOT ({single})").select("half", "v0", "v1", "m0", "m1"))
-    units = units.selectExpr("*", "explode(sequence(0, m0 - 1)) AS i").selectExpr("*", "explode(sequence(if(v0 = v1, i, 0), m1 - 1)) AS j")
-    units = units.selectExpr("*", "xxhash64(half, v0, v1, i, j) AS unit").selectExpr(
-        "half", "unit", "v0 = v1 AND i = j AS own", "stack(2, 0, v0, i, 1, v1, j) AS (side, value, part)"
-    )
+    units = units.selectExpr("half", "xxhash64(half, v0, v1) AS unit", "v0 = v1 AS own", "m0 > 1 OR m1 > 1 AS heavy", "stack(2, 0, v0, m0, 1, v1, m1) AS (side, value, m)")
+    units = units.filter("NOT own OR side = 0").selectExpr("*", "explode(sequence(0, m - 1)) AS part").drop("m")
+    # Parts of a value spread its fingerprints over tasks.
     shared = halves.join(sizes.select("half", "value", "m"), ["half", "value"]).selectExpr("half", "value", "cast(pmod(xxhash64(fp), m) AS int) AS part", "fp")
-    members = units.filter("NOT own OR side = 0").join(shared, ["half", "value", "part"])
-    heavy = members.select("unit", "side", "fp").repartition("unit").sortWithinPartitions("unit").mapInArrow(forest, "a long, b long")
-    return plain.unionByName(heavy)
+    members = units.join(shared, ["half", "value", "part"])
+    light = members.filter("NOT heavy").select("unit", "side", "fp")
+    crowded = blocked(by_quarters(members.filter("heavy").select("half", "unit", "own", "side", "fp")), block)
+    near_ones = light.unionByName(crowded).repartition("unit").sortWithinPartitions("unit").mapInArrow(forest, "a long, b long")
+    return plain.unionByName(near_ones)
+
+
+def by_quarters(members: DataFrame) -> DataFrame:
+    """Deals the fingerprints of a crowded half (half, unit, own, side, fp) out by the one-wildcard variants of the
+    other half's two quarters: (unit, own, side, fp), one row for each of 32 variants."""
+    other = members.withColumn("other", F.expr("if(half = 0, fp & 4294967295L, shiftrightunsigned(fp, 32))"))
+    variant = "explode(flatten(transform(array(0, 1), q -> transform(sequence(0, 15), i -> ((shiftrightunsigned(other, 16 * q) & 65535L) & ~shiftleft(1L, i)) * 32 + i * 2 + q)))) AS variant"
+    return other.selectExpr("*", variant).selectExpr("xxhash64(unit, variant) AS unit", "own", "side", "fp")
+
+
+def blocked(members: DataFrame, block: int) -> DataFrame:
+    """Units of at most about two blocks (unit, side, fp) that bring together whatever the given units do."""
+    counts = members.groupBy("unit", "own").agg(F.count_if(F.expr("side = 0")).alias("n0"), F.count_if(F.expr("side = 1")).alias("n1"))
+    counts = counts.filter("own AND n0 > 1 OR n0 > 0 AND n1 > 0").selectExpr("unit", f"cast(ceil(n0 / {block}) AS int) AS m0", f"cast(ceil(if(own, n0, n1) / {block}) AS int) AS m1")
+    rows = members.join(counts, "unit").withColumn("part", F.expr("cast(pmod(xxhash64(fp), if(side = 0, m0, m1)) AS int)"))
+    places = """CASE WHEN own THEN concat(transform(sequence(part, m0 - 1), j -> struct(part AS i, j AS j, 0 AS side)), transform(filter(sequence(0, part), i -> i < part), i -> struct(i AS i, part AS j, 1 AS side)))
+        WHEN side = 0 THEN transform(sequence(0, m1 - 1), j -> struct(part AS i, j AS j, 0 AS side)) ELSE transform(sequence(0, m0 - 1), i -> struct(i AS i, part AS j, 1 AS side)) END"""
+    return rows.select("unit", "fp", F.explode(F.expr(places)).alias("at")).selectExpr("xxhash64(unit, at.i, at.j) AS unit", "at.side AS side", "fp")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -150,12 +171,12 @@ def summary(edges: DataFrame) -> tuple:
 def marked_groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), simhash and component_id of each document."""
     marked = cut(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("text_key"), "simhash"))
-    distinct = cut(marked.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("low")))
+    distinct = cut(marked.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(links_between(distinct))
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    component = labelled.join(ids, "root").select(F.col("fp").alias("simhash"), "root", "component_id")
-    return marked.join(component, "simhash")
+    component = labelled.join(ids, "root").select(F.col("fp").alias("simhash"), "root", "component_id", "n")
+    return join_counted(marked, cut(component), ["simhash"])
 
 
 def group_near_copies(docs: DataFrame) -> DataFrame:
@@ -165,8 +186,8 @@ def group_near_copies(docs: DataFrame) -> DataFrame:
     Takes doc_id (long) and text; other columns are left out, whatever they are called. Null, empty and blank texts
     have fingerprint zero and are linked like any other; texts of fewer than three words hash their whole sequence.
     Equal texts and repeated rows share a fingerprint, and repeated rows all come out. A null doc_id comes out as null
-    and is never the smallest, so component_id is null only where a component has no other id. An empty table gives an
-    empty table.
+    and is never the smallest, so component_id is null only where a component has no other id. Very long texts are
+    read whole, in time in proportion to their length; a text has to fit in a task. An empty table gives an empty table.
     """
     return marked_groups(docs).select("doc_id", "simhash", "component_id")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loomkit.llm import line_dedup, simhash, substring_dedup
+from loomkit.llm import common, line_dedup, simhash, substring_dedup
 
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -149,6 +149,37 @@ def test_links_of_dense_groups(spark, block):
         assert ((a ^ b) % (1 << 64)).bit_count() <= 3
 
 
+@pytest.mark.parametrize("block", [8, 100])
+def test_links_of_a_crowded_half(spark, block):
+    """Hundreds of fingerprints share a half, or one that differs in a bit; few of them are near each other."""
+    r = random.Random(6)
+    values = set()
+    for upper in (False, True):
+        shared = r.getrandbits(32)
+        for _ in range(300):
+            half, other = shared ^ (1 << r.randrange(32) if r.random() < 0.3 else 0), r.getrandbits(32)
+            for _ in range(r.choice([1, 1, 3])):
+                near = other
+                for b in r.sample(range(32), r.randrange(0, 4)):
+                    near ^= 1 << b
+                values.add(half << 32 | near if upper else near << 32 | half)
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    roots = {x.node: x.root for x in simhash.components(simhash.links_between(spark.createDataFrame([(v,) for v in signed], "fp long"), block)).collect()}
+    groups = {}
+    for v, x in zip(signed, brute_components(values), strict=True):
+        groups.setdefault(x, set()).add(v)
+    expected = {v: min(g) for g in groups.values() for v in g if v != min(g)}
+    assert len(expected) > 50 and roots == expected
+
+
+def test_a_fingerprint_of_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 3)
+    rows = [(i, "") for i in range(20)] + [(100 + i, f"t{i} u{i} v{i} w{i}") for i in range(5)] + [(200, "x y z " * 200_000)] * 2
+    got = {r.doc_id: r.component_id for r in simhash.group_near_copies(frame(spark, rows)).collect()}
+    assert got == {i: 0 for i in range(20)} | {100 + i: 100 + i for i in range(5)} | {200: 200}
+
+
 def test_long_chain_of_links(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {(r.node, r.root) for r in simhash.components(chain).collect()} == {(i, 0) for i in range(1, 41)}
