@@ -108,7 +108,8 @@ def with_features(urls: DataFrame) -> DataFrame:
 
 def seed_labels(spark: SparkSession) -> DataFrame:
     """SEED_URLS as (url, label), label 1 for those to block."""
-    return spark.createDataFrame([(url, float(verdict == "block")) for verdict, urls in SEED_URLS.items() for url in urls.split()], "url string, label double")
+    rows = [F.struct(F.lit(url).alias("url"), F.lit(float(verdict == "block")).alias("label")) for verdict, urls in SEED_URLS.items() for url in urls.split()]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("row")).select("row.*")
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
