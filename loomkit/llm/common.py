@@ -74,7 +74,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local"):
+    if named is None and context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("Name a shared folder in spark.checkpoint.dir.")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomkit-checkpoint-"))
 
