@@ -19,10 +19,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkit.llm.common import cut, join_counted, pieces
+from loomkit.llm.common import broadcast_if_small, cut, join_counted, pieces
 
 BITS, HALF, DISTANCE, SHINGLE = 64, 32, 3, 3
 BLOCK = 2048  # fingerprints of a half in one block
@@ -197,10 +197,16 @@ def keep_one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]
     the smallest doc_id (null ids last); of rows that share this id, the one with the smallest hash of its text, once.
     `grouped` gives the components, as doc_id, text_key and root.
     """
-    groups = grouped(docs).selectExpr("root", "struct(doc_id IS NULL AS last, doc_id, text_key) AS rank")
-    chosen = groups.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.doc_id", "rank.text_key")
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))
-    same = F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.text_key") == F.col("c.text_key"))
-    first = Window.partitionBy("doc_id", "text_key").orderBy("doc_id")
-    kept = rows.alias("r").join(chosen.alias("c"), same, "left_semi").withColumn("copy", F.row_number().over(first))
-    return kept.filter("copy = 1").select("row.*")
+    ranked = grouped(docs).selectExpr("root", "struct(doc_id IS NULL AS last, doc_id, text_key) AS rank")
+    each = cut(ranked.groupBy("root", "rank").agg(F.count("*").alias("copies")))
+    shared = cut(each.groupBy("root").agg(F.min("rank").alias("best"), F.sum("copies").alias("n")).filter("n > 1"))
+    # Only rows of groups of several have to meet a decision. Texts stay where they are if those are few.
+    others = cut(join_counted(each, shared, ["root"]).filter("rank <> best OR copies > 1").selectExpr("rank.*", "rank = best AS first"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_key")).alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("r.text_key") == F.col("o.text_key"))
+    kept = rows.join(broadcast_if_small(others.select("doc_id", "text_key")).alias("o"), same, "left_anti").select("row")
+    repeated = others.filter("first").select("doc_id", "text_key")
+    if not repeated.isEmpty():
+        once = rows.join(broadcast_if_small(repeated).alias("o"), same, "left_semi").groupBy("doc_id", "text_key").agg(F.first("row").alias("row"))
+        kept = kept.unionByName(once.select("row"))
+    return kept.select("row.*")
