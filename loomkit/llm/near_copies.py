@@ -2,9 +2,11 @@
 
 No SimHash distance bounds a Jaccard similarity, so no number of segments of a fingerprint finds all pairs. Prefixes
 do: under any one order of all shingles, two sets of similarity 4/5 or more share a shingle among the first fifth of
-each. All documents' shingles are counted in COUNTERS counters, which several shingles may share, and shingles of
-larger counters come later in the order, so that prefixes hold rare ones. The order decides how many candidates there
-are, never which pairs are found. Candidates are verified over the whole sets.
+each. All documents' shingles are counted in counters, which several shingles may share, and shingles of larger counters
+come later in the order, so that prefixes hold rare ones. The order decides how many candidates there are, never which
+pairs are found. As many shingles share a counter in a large table as in a small one (up to MOST_COUNTERS): else chance
+would hide which shingles are frequent, and ever more frequent ones would stand in prefixes. Candidates are verified
+over the whole sets.
 
 Sets that are equal count as one. Where CENTRES sets or fewer share a prefix shingle, each pair of them is a candidate,
 and how many such shingles a pair shares bounds its similarity from above: what two sets share beyond their prefixes is
@@ -26,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import WordHashes, broadcast_if_small, cut, window_hashes
+from loomkit.llm.common import WordHashes, broadcast_if_small, cut, total_bytes, window_hashes
 from loomkit.llm.simhash import components
 
 SHINGLE = 5
 LEAST, OF = 4, 5  # similarity 4/5 or more is a near copy
-COUNTERS, CHUNK = 1 << 18, 1 << 12  # counters of shingles, and how many of them travel in one row
+COUNTERS, CHUNK = 1 << 18, 1 << 12  # counters of shingles, at least, and how many of them travel in one row
+COUNTER_BYTES, MOST_COUNTERS = 256, 1 << 22  # bytes of text a counter, and how many counters there are at most
 BITS = 1024  # parities of a set
 CENTRES = 16  # sets that all other sets of a shingle are held against first, if it has more than so many
 
@@ -64,15 +67,28 @@ def parities(own: np.ndarray) -> np.ndarray:
 
 
 def chunk_rows(counts: np.ndarray) -> pa.RecordBatch:
-    """The chunks of counters that aren't all zero."""
-    chunks = [(i, part) for i, part in enumerate(counts.reshape(-1, CHUNK)) if part.any()]
-    return pa.record_batch([pa.array([i for i, _ in chunks], pa.int32()), pa.array([part.tobytes() for _, part in chunks], pa.binary())], names=["chunk", "counts"])
+    """The chunks of counters that aren't all zero, each in the narrowest type that holds its counts."""
+    chunks = [(i, part.astype(np.min_scalar_type(part.max())).tobytes()) for i, part in enumerate(counts.reshape(-1, CHUNK)) if part.any()]
+    return pa.record_batch([pa.array([i for i, _ in chunks], pa.int32()), pa.array([part for _, part in chunks], pa.binary())], names=["chunk", "counts"])
+
+
+def chunk_counts(part: bytes) -> np.ndarray:
+    return np.frombuffer(part, f"u{len(part) // CHUNK}")
+
+
+def counters_for(docs: DataFrame) -> int:
+    """How many counters a table gets: a power of two, in proportion to its texts, from COUNTERS to MOST_COUNTERS."""
+    size = COUNTERS
+    wanted = total_bytes(docs, "text") / COUNTER_BYTES
+    while size < min(wanted, MOST_COUNTERS):
+        size *= 2
+    return size
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
     """In how many documents the shingles of each counter stand, over all documents. What a task sends and what the
-    driver gets are of a fixed size."""
-    size = COUNTERS
+    driver gets are of a bounded size."""
+    size = counters_for(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(size, np.int64)
@@ -85,13 +101,13 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(size, np.int64)
         for batch in batches:
             for chunk, part in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                counts[chunk * CHUNK : (chunk + 1) * CHUNK] += np.frombuffer(part, np.int64)
+                counts[chunk * CHUNK : (chunk + 1) * CHUNK] += chunk_counts(part)
         yield chunk_rows(counts)
 
     schema = "chunk int, counts binary"
     total = np.zeros(size, np.int64)
-    for row in docs.select("text").mapInArrow(count, schema).repartition(size // CHUNK, "chunk").mapInArrow(add, schema).collect():
-        total[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.frombuffer(row.counts, np.int64)
+    for row in docs.select("text").mapInArrow(count, schema).repartition(min(size, COUNTERS) // CHUNK, "chunk").mapInArrow(add, schema).collect():
+        total[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += chunk_counts(row.counts)
     return total
 
 
@@ -176,8 +192,9 @@ def links_of(docs: DataFrame, marked: DataFrame) -> DataFrame:
     centre = lambda i: F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("order"), "key", "n", "place", "bits")).alias(f"c{i}")
     centres = crowd.groupBy("s").agg(*map(centre, range(CENTRES)))
     centres = centres.select("s", F.array_distinct(F.array(*[F.col(f"c{i}").dropFields("order") for i in range(CENTRES)])).alias("centres"))
-    each = crowd.join(broadcast_if_small(cut(centres)), "s").select(F.struct("key", "n", "place", "bits").alias("x"), F.explode("centres").alias("c"))
-    star = each.filter("x.key <> c.key").filter(may_be_near("x.n", "x.place", "c.n", "c.place")).filter(parities_allow("x", "c"))
+    centres = broadcast_if_small(cut(centres.selectExpr("s", "inline(centres)")))
+    # The bounds are conditions of the join, so only pairs that pass them become rows.
+    star = crowd.alias("x").join(centres.alias("c"), "s").filter("x.key <> c.key").filter(may_be_near("x.n", "x.place", "c.n", "c.place")).filter(parities_allow("x", "c"))
     star = star.selectExpr("least(x.key, c.key) AS a", "greatest(x.key, c.key) AS b")
     links = cut(verified(few.unionByName(star), docs, marked))
     left = open_members(crowd, links)

@@ -70,3 +70,23 @@ def test_sets_differ_in_at_least_as_many_shingles_as_parities():
             differ = len(np.setxor1d(a, b))
             assert apart <= differ and (apart - differ) % 2 == 0
             assert apart >= 0.7 * differ or differ > near_copies.BITS // 4
+
+
+def test_prefixes_keep_to_rare_shingles_in_larger_tables(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "COUNTERS", 1 << 12)
+    monkeypatch.setattr(near_copies, "COUNTER_BYTES", 16)
+    r = random.Random(8)
+    own = lambda n: [f"{r.randrange(1 << 30):x}" for _ in range(n)]
+    passages = [own(12) for _ in range(400)]
+    rows = [(i, " ".join(own(100) + passages[i // 5] + own(88))) for i in range(2000)]  # a passage stands in five texts
+    entries = near_copies.with_prefixes(frame(spark, rows)).selectExpr("explode(prefix) AS s")
+    shared = entries.groupBy("s").count().filter("count > 3").selectExpr("coalesce(sum(count), 0) AS n").first().n
+    assert shared < 100
+
+
+def test_counts_travel_in_types_that_hold_them():
+    counts = np.zeros(4 * near_copies.CHUNK, np.int64)
+    for chunk, most in enumerate((255, 256, 1 << 16, 1 << 32)):
+        counts[chunk * near_copies.CHUNK + 7] = most
+    rows = near_copies.chunk_rows(counts)
+    assert (np.concatenate([near_copies.chunk_counts(p) for p in rows.column("counts").to_pylist()]) == counts).all()
