@@ -40,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more) stays, that of the
-    smallest doc_id; a null id comes last, and of texts that share an id the one of the smallest hash stays. Null,
+    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more) stays. They are linked by
+    SimHash first, checked exactly, and completed by what no distance of fingerprints finds. It is that of the smallest doc_id; a null id comes last, and of texts that share an id the one of the smallest hash stays. Null,
     empty and blank texts are copies of each other."""
     return keep_one_of_each(docs, marked_groups)
 

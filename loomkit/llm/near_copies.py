@@ -1,7 +1,8 @@
-"""Near-copies by the exact Jaccard similarity of five-word shingles, found by prefix filtering.
+"""Near-copies by SimHash and the exact Jaccard similarity of five-word shingles.
 
-No SimHash distance bounds a Jaccard similarity, so no number of segments of a fingerprint finds all pairs. Prefixes
-do: under any one order of all shingles, two sets of similarity 4/5 or more share a shingle among the first fifth of
+Operator 4 comes first: fingerprints, their links by halves with one wildcard bit, an exact check of the linked sets, and
+components. No SimHash distance bounds a Jaccard similarity, so that can't find all pairs. What it left apart is
+completed by prefix filtering, which only looks at sets of different components: under any one order of all shingles, two sets of similarity 4/5 or more share a shingle among the first fifth of
 each. All documents' shingles are counted in counters, which several shingles may share, and shingles of larger counters
 come later in the order, so that prefixes hold rare ones. The order decides how many candidates there are, never which
 pairs are found. As many shingles share a counter in a large table as in a small one (up to MOST_COUNTERS): else chance
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import WordHashes, broadcast_if_small, cut, total_bytes, window_hashes
-from loomkit.llm.simhash import components
+from loomkit.llm.common import WordHashes, broadcast_if_small, cut, join_counted, total_bytes, window_hashes
+from loomkit.llm.simhash import components, fingerprint, links_between
 
 SHINGLE = 5
 LEAST, OF = 4, 5  # similarity 4/5 or more is a near copy
@@ -112,19 +113,19 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 
 def with_prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, key (a hash of the set of shingles), n (its size), the set's prefix, rare shingles first, and
-    the set's parities."""
+    """doc_id, text_key, key (a hash of the set of shingles), n (its size), the set's prefix, rare shingles first, the
+    set's parities, and fp, the text's fingerprint as operator 4 has it."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
 
-    @F.pandas_udf("struct<key:long,n:long,prefix:array<long>,bits:array<long>>")
+    @F.pandas_udf("struct<key:long,n:long,prefix:array<long>,bits:array<long>,fp:long>")
     def marked(texts: pd.Series) -> pd.DataFrame:
         hashes, rows = WordHashes(), []
         for text in texts:
             own = shingles(text, hashes)
             n, order = len(own), np.lexsort((own, counts.value[counters(own, len(counts.value))]))
             prefix = own[order[: n + 1 - -(-LEAST * n // OF)]]
-            rows.append((xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), n, prefix.view(np.int64), parities(own)))
-        return pd.DataFrame(rows, columns=["key", "n", "prefix", "bits"])
+            rows.append((xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), n, prefix.view(np.int64), parities(own), int(np.uint64(fingerprint(text)).astype(np.int64))))
+        return pd.DataFrame(rows, columns=["key", "n", "prefix", "bits", "fp"])
 
     out = docs.select("doc_id", F.xxhash64("text").alias("text_key"), marked.asNondeterministic()("text").alias("p"))
     return out.select("doc_id", "text_key", "p.*")
@@ -154,21 +155,33 @@ def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame) -> DataFrame:
     return pairs.filter(near).select("a", "b")
 
 
+def simhash_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys that connect sets as operator 4 connects their texts' fingerprints."""
+    own = cut(marked.select("fp", "key").distinct())
+    low = cut(own.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")))
+    same = join_counted(own, low.filter("n > 1"), ["fp"]).selectExpr("low AS a", "key AS b")
+    linked = cut(links_between(low.select("fp")))
+    ends = cut(low.join(linked.selectExpr("explode(array(a, b)) AS fp").distinct(), "fp").select("fp", "low"))
+    for c in "ab":
+        linked = linked.join(broadcast_if_small(ends.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))), c)
+    return same.unionByName(linked.selectExpr("least(low_a, low_b) AS a", "greatest(low_a, low_b) AS b")).filter("a <> b")
+
+
 def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
     """The sets that a prefix shingle brings together (s, key, n, place, bits) with their roots by the links so far, without
     the shingles whose sets are all connected."""
     roots = components(links).withColumnRenamed("node", "key")
-    left = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    left = members.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     unsettled = left.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s")
     return cut(left.join(unsettled, "s"))
 
 
 def few_pairs(members: DataFrame, crowd: DataFrame) -> DataFrame:
-    """Candidates (a, b) of the shingles that few sets share. A pair's number of them, with what shingles in `crowd`
+    """Candidates (a, b) of different roots, of the shingles that few sets share. A pair's number of them, with what shingles in `crowd`
     may add to it, has to leave the similarity possible."""
-    held = members.join(broadcast_if_small(crowd.select("s").distinct()), "s", "left_anti").groupBy("s").agg(F.collect_list(F.struct("key", "n")).alias("held"))
+    held = members.join(broadcast_if_small(crowd.select("s").distinct()), "s", "left_anti").groupBy("s").agg(F.collect_list(F.struct("key", "n", "root")).alias("held"))
     sized = f"{OF} * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n)"
-    pairs = f"explode(flatten(transform(held, x -> transform(filter(held, y -> x.key < y.key AND {sized}), y -> struct(x.key AS a, y.key AS b, x.n + y.n AS both, greatest(x.n, y.n) AS most))))) AS p"
+    pairs = f"explode(flatten(transform(held, x -> transform(filter(held, y -> x.key < y.key AND x.root <> y.root AND {sized}), y -> struct(x.key AS a, y.key AS b, x.n + y.n AS both, greatest(x.n, y.n) AS most))))) AS p"
     counted = cut(held.selectExpr(pairs).select("p.*").groupBy("a", "b", "both", "most").agg(F.count("*").alias("common")))
     crowded = cut(crowd.groupBy("key").agg(F.count("*").alias("k")))
     for c in "ab":
@@ -179,24 +192,27 @@ def few_pairs(members: DataFrame, crowd: DataFrame) -> DataFrame:
 
 def links_of(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Links (a, b) that connect keys exactly as all pairs of near copies do."""
-    entries = marked.selectExpr("key", "n", "posexplode(prefix) AS (place, s)")
-    shared = entries.groupBy("s").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("s")
-    members = cut(entries.join(shared, "s").select("s", "key", "n", "place").distinct())
+    hashed = cut(verified(simhash_pairs(marked), docs, marked))
+    roots = broadcast_if_small(components(hashed).withColumnRenamed("node", "key"))
+    rooted = marked.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    entries = rooted.selectExpr("key", "n", "root", "posexplode(prefix) AS (place, s)")
+    shared = entries.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("s")
+    members = cut(entries.join(shared, "s").select("s", "key", "n", "place", "root").distinct())
     crowds = cut(members.groupBy("s").count().filter(F.col("count") > CENTRES).select("s"))
     crowd = cut(members.join(broadcast_if_small(crowds), "s"))
     few = few_pairs(members, crowd)
     if crowds.isEmpty():
-        return verified(few, docs, marked)
+        return hashed.unionByName(verified(few, docs, marked))
     own = broadcast_if_small(crowd.select("key").distinct())
     crowd = cut(crowd.join(broadcast_if_small(cut(marked.join(own, "key").groupBy("key").agg(F.first("bits").alias("bits")))), "key"))
-    centre = lambda i: F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("order"), "key", "n", "place", "bits")).alias(f"c{i}")
+    centre = lambda i: F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("order"), "key", "n", "place", "bits", "root")).alias(f"c{i}")
     centres = crowd.groupBy("s").agg(*map(centre, range(CENTRES)))
     centres = centres.select("s", F.array_distinct(F.array(*[F.col(f"c{i}").dropFields("order") for i in range(CENTRES)])).alias("centres"))
     centres = broadcast_if_small(cut(centres.selectExpr("s", "inline(centres)")))
     # The bounds are conditions of the join, so only pairs that pass them become rows.
-    star = crowd.alias("x").join(centres.alias("c"), "s").filter("x.key <> c.key").filter(may_be_near("x.n", "x.place", "c.n", "c.place")).filter(parities_allow("x", "c"))
+    star = crowd.alias("x").join(centres.alias("c"), "s").filter("x.root <> c.root").filter(may_be_near("x.n", "x.place", "c.n", "c.place")).filter(parities_allow("x", "c"))
     star = star.selectExpr("least(x.key, c.key) AS a", "greatest(x.key, c.key) AS b")
-    links = cut(verified(few.unionByName(star), docs, marked))
+    links = cut(hashed.unionByName(verified(few.unionByName(star), docs, marked)))
     left = open_members(crowd, links)
     # Near copies differ in size by a quarter at most, so only sets of one band of sizes or the next one meet.
     banded = left.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.26))))

@@ -8,6 +8,7 @@ import pytest
 from test_dedup import documents, frame
 
 from loomkit.llm import near_copies
+from loomkit.llm.simhash import group_near_copies
 
 
 def brute_groups(texts):
@@ -90,3 +91,16 @@ def test_counts_travel_in_types_that_hold_them():
         counts[chunk * near_copies.CHUNK + 7] = most
     rows = near_copies.chunk_rows(counts)
     assert (np.concatenate([near_copies.chunk_counts(p) for p in rows.column("counts").to_pylist()]) == counts).all()
+
+
+def test_simhash_links_come_first(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: t for i, t in documents(60) if i is not None}
+    texts |= {5000 + i: " ".join([*words[: 390 - i], *[f"x{i}"] * (i > 0), *words[390 - i :]]) for i in range(6)}
+    docs = frame(spark, list(texts.items()))
+    component = {r.doc_id: r.component_id for r in group_near_copies(docs).collect()}
+    marked = near_copies.cut(near_copies.with_prefixes(docs))
+    root = {r.node: r.root for r in near_copies.components(near_copies.simhash_pairs(marked)).collect()}
+    got = {r.doc_id: root.get(r.key, r.key) for r in marked.collect()}
+    assert len(set(component.values())) == len({(component[i], got[i]) for i in texts}) == len(set(got.values()))
+    assert len(set(component.values())) < len({r.key for r in marked.collect()})
