@@ -91,6 +91,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+PART_BYTES = 1 << 20  # bytes of a packed frame that one task reads, unless cores would be left without any
+
+
+def cut_packed(df: DataFrame) -> DataFrame:
+    """cut(), read by no more tasks than its bytes need or there are cores. A small frame in very many partitions would
+    leave as many nearly empty files in each later step, each of which takes a block of disk at least."""
+    done = cut(df)
+    rows = done._jdf.queryExecution().logical().rdd()
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(rows.getCheckpointFile().get())
+    written = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    few = max(pieces(written, PART_BYTES), df.sparkSession.sparkContext.defaultParallelism)
+    return done.coalesce(few) if few < rows.getNumPartitions() else done
+
+
 SMALL_BYTES = 8 << 20  # a side of a join of so many bytes at most is sent to every task
 
 

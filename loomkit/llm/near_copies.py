@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import WordHashes, broadcast_if_small, cut, join_counted, total_bytes, window_hashes
+from loomkit.llm.common import WordHashes, broadcast_if_small, join_counted, total_bytes, window_hashes
+from loomkit.llm.common import cut_packed as cut
 from loomkit.llm.simhash import components, fingerprint, links_between
 
 SHINGLE = 5

@@ -9,7 +9,8 @@ Only distinct fingerprints take part, so a group of copies costs one row. Where
 other half is indexed in the same way: at most 3 bits differ in it, so one of its quarters of 16 bits differs in at
 most one, and fingerprints meet under the quarters' one-wildcard variants. What is still a crowd there is cut into
 blocks, each pair of which is verified in its own unit. Units yield a spanning forest of their links, never all of
-their pairs. Components come from alternating star contractions.
+their pairs. Components come from alternating star contractions;
+links that are few enough for one task are connected there.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkit.llm.common import broadcast_if_small, cut, join_counted, pieces
+from loomkit.llm.common import broadcast_if_small, is_small, join_counted, pieces
+from loomkit.llm.common import cut_packed as cut
 
 BITS, HALF, DISTANCE, SHINGLE = 64, 32, 3, 3
 BLOCK = 2048  # fingerprints of a half in one block
@@ -146,9 +148,25 @@ def blocked(members: DataFrame, block: int) -> DataFrame:
     return rows.select("unit", "fp", F.explode(F.expr(places)).alias("at")).selectExpr("xxhash64(unit, at.i, at.j) AS unit", "at.side AS side", "fp")
 
 
+def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of every node that reaches a smaller one over links (a, b) that one task holds."""
+    ends = [np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "ab"]) for batch in batches]
+    nodes, place = np.unique(np.concatenate([np.empty((2, 0), np.int64), *ends], axis=1), return_inverse=True)
+    (a, b), root = place.reshape(2, -1), np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root != root[root]).any():
+            root = root[root]
+    away = root != np.arange(len(nodes))
+    yield pa.record_batch({"node": pa.array(nodes[away]), "root": pa.array(nodes[root[away]])})
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node that reaches a smaller one; root is the smallest. By alternating large and small stars."""
+    """(node, root) of every node that reaches a smaller one; root is the smallest. By alternating large and small stars,
+    unless the links are so few that one task holds them."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    if is_small(edges):
+        return cut(edges.coalesce(1).mapInArrow(connected, "node long, root long"))
     told = summary(edges)
     for _ in range(most_rounds):
         both = edges.selectExpr("stack(2, a, b, b, a) AS (u, v)")

@@ -185,6 +185,33 @@ def test_long_chain_of_links(spark):
     assert {(r.node, r.root) for r in simhash.components(chain).collect()} == {(i, 0) for i in range(1, 41)}
 
 
+@pytest.mark.parametrize("most", [0, 8 << 20])
+def test_components_by_stars_and_in_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SMALL_BYTES", most)
+    r = random.Random(2)
+    sign = lambda i: (i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+    links = [(sign(r.randrange(300)), sign(r.randrange(300))) for _ in range(170)] + [(sign(400 + i), sign(401 + i)) for i in range(40)] + [(5, 5)]
+    root = {v: v for link in links for v in link}
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = {v: low if x == high else x for v, x in root.items()}
+    got = [(x.node, x.root) for x in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(got) == sorted((v, x) for v, x in root.items() if v != x) and len(got) > 100
+    none = spark.createDataFrame([(7, 7)], "a long, b long")
+    assert simhash.components(none).count() == simhash.components(none.limit(0)).count() == 0
+
+
+def test_packed_frames_keep_their_rows_in_few_parts(spark, monkeypatch):
+    parts = lambda df: df.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    small = common.cut_packed(spark.range(0, 1000, 1, 50))
+    assert parts(small) == cores and sorted(x.id for x in small.collect()) == list(range(1000))
+    assert parts(common.cut_packed(spark.range(0, 10, 1, 2))) == 2
+    assert common.cut_packed(spark.range(0)).count() == 0
+    monkeypatch.setattr(common, "PART_BYTES", 2000)
+    assert cores < parts(common.cut_packed(spark.range(0, 1000, 1, 50))) <= 50
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert substring_dedup.dedup_substrings(empty).count() == 0

@@ -104,3 +104,28 @@ def test_simhash_links_come_first(spark):
     got = {r.doc_id: root.get(r.key, r.key) for r in marked.collect()}
     assert len(set(component.values())) == len({(component[i], got[i]) for i in texts}) == len(set(got.values()))
     assert len(set(component.values())) < len({r.key for r in marked.collect()})
+
+
+def test_small_tables_leave_few_shuffle_files(spark):
+    """Each file takes a block of disk at least, however little is in it."""
+
+    def files():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {x for x in names if x.startswith("shuffle_")}
+
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[:90] + [f"x{i}"] * (i % 3)) for i in range(40)] + [" ".join(f"{i}y{j}" for j in range(30)) for i in range(40)]
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, were = files(), {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = corpus_pipeline.near_dedup(spark, frame(spark, list(enumerate(texts))).repartition(60), "")
+        assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute_groups(texts)))
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert len(files() - before) < 3000
